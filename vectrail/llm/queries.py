@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import bpe, packing, sst
+from vectrail.llm import bpe, packing, sst, url_filter
 from vectrail.runtime import shared_path
 
 
@@ -16,6 +16,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rules of the contract, and names of hosts that the method lists.
+BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
+LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+LISTED = [f"{n}.example.{t}" for n in LISTED_NAMES for t in ("com", "net", "org")]
+
+
+def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), BLOCK, ALLOW, LISTED, ["page_id"])
+
+
+OP1_SQL = f"""
+WITH parts AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+fits AS (
+  SELECT *, (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') AS r1,
+    (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') AS r2,
+    (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') AS r3,
+    (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') AS r4,
+    nullif(regexp_extract(host, '(^|\\.)(({"|".join(LISTED_NAMES)})\\.example\\.(com|net|org))$', 2), '') AS listed
+  FROM parts)
+SELECT page_id, host, path,
+  CASE WHEN r2 THEN 'example.net/en/' WHEN r3 THEN 'example.com/de/' WHEN r4 THEN 'org/fr/' WHEN r1 THEN 'net/' END AS rule,
+  CASE WHEN r2 OR r4 THEN 'allow' WHEN r3 OR r1 THEN 'block' WHEN listed IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  listed
+FROM fits
+"""
+
+
 def op2_sst_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as sorted-string-table shards and read back."""
     path = shared_path(spark, "shards")
@@ -40,8 +72,8 @@ def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing)}
+    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_cascade": OP1_SQL}
