@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import bpe, packing, sst, url_filter
+from vectrail.llm import bpe, packing, simhash, sst, url_filter
 from vectrail.runtime import shared_path
 
 
@@ -71,8 +71,13 @@ def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op9_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and component of near-duplicates."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing)}
+    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing, op9_simhash_gray_index)}
 
 
 def oracle_sql() -> dict[str, str]:
