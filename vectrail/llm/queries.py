@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import bpe, packing, simhash, sst, url_filter
+from vectrail.llm import bpe, langid, packing, secrets, simhash, sst, url_filter
 from vectrail.runtime import shared_path
 
 
@@ -71,13 +71,34 @@ def op5_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language by rank-order profiles."""
+    docs = _table(spark, sf_dir, "documents")
+    judged = langid.predict(docs, ["doc_id"], langid.learn(docs))
+    return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets in each document."""
+    def shown(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    base = of("assign", "access", "hex")
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    found = secrets.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op9_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's fingerprint and component of near-duplicates."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing, op9_simhash_gray_index)}
+    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing, op6_rank_order_language, op8_secret_spans, op9_simhash_gray_index)}
 
 
 def oracle_sql() -> dict[str, str]:
