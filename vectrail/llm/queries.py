@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import bpe, langid, packing, secrets, simhash, sst, url_filter
+from vectrail.llm import bpe, langid, license_scan, packing, secrets, simhash, sst, url_filter
 from vectrail.runtime import shared_path
 
 
@@ -55,6 +55,41 @@ def op2_sst_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.read_table(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licences named in each document."""
+    return license_scan.scan(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def _op3_sql() -> str:
+    names = {p: f"at{k}" for k, p in enumerate(license_scan.PHRASES)}
+
+    def listed(values: list[str]) -> str:
+        return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+    def labels(phrases: list[str]) -> str:
+        each = ", ".join(f"CASE WHEN len({names[p]}) > 0 THEN '{license_scan.PHRASES[p]}' END" for p in phrases)
+        return f"array_to_string(list_sort(list_distinct([{each}])), ',')"
+
+    starts = ",\n  ".join(
+        f"list_filter(range(0, greatest(len(words) - {len(ws) - 1}, 0)), lambda i: words[i + 1 : i + {len(ws)}] = {listed(ws)}) AS {names[p]}"
+        for p in license_scan.PHRASES for ws in [p.split()]
+    )
+    shares = ", ".join(f"0.5 * len(list_intersect({listed(ws)}, words)) / {len(ws)}.0" for p in license_scan.PHRASES for ws in [sorted(set(p.split()))])
+    base = " || ".join(names[p] for p in license_scan.BASE)
+    some = " + ".join(f"len({n})" for n in names.values())
+    return f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS words FROM documents),
+found AS (
+  SELECT doc_id, words, {starts} FROM split)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len({base}) AS BIGINT) AS n_base,
+  list_min({base}) AS first_word, list_max({base}) AS last_word,
+  {labels(list(license_scan.BASE))} AS base_labels, {labels(list(license_scan.PHRASES))} AS labels,
+  CAST(CASE WHEN {some} > 0 THEN 1.0 ELSE greatest({shares}) END AS DOUBLE) AS score
+FROM found
+"""
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each text, and the bytes decoded from them."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -98,8 +133,8 @@ def op9_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op4_byte_bpe, op5_best_two_fit_packing, op6_rank_order_language, op8_secret_spans, op9_simhash_gray_index)}
+    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op3_license_index, op4_byte_bpe, op5_best_two_fit_packing, op6_rank_order_language, op8_secret_spans, op9_simhash_gray_index)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_cascade": OP1_SQL}
+    return {"op1_url_cascade": OP1_SQL, "op3_license_index": _op3_sql()}
