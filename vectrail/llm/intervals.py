@@ -140,3 +140,24 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
             root = up
         if (root[i] == root[j]).all():
             return root
+
+
+def across(left: DataFrame, right: DataFrame, payloads: tuple[list[str], list[str]], kernel: Callable, schema: str) -> DataFrame:
+    """Runs ``kernel(left row, right row)`` on every left and right block of the same grp.
+
+    Blocks are paired by number first; their payloads then follow the pairs, so a large group's pairs spread over tasks.
+    """
+    share_code(left.sparkSession)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                sides = ({c: row[f"{p}_{c}"] for c in payload} for p, payload in zip("lr", payloads, strict=True))
+                yield from kernel(*sides).to_batches()
+
+    near = left.select("grp", F.col("block").alias("l")).join(right.select("grp", F.col("block").alias("r")), "grp").select("l", "r")
+    for p, blocks, payload in (("l", left, payloads[0]), ("r", right, payloads[1])):
+        near = near.join(blocks.select(F.col("block").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in payload]), p)
+    columns = [f"{p}_{c}" for p, payload in zip("lr", payloads, strict=True) for c in payload]
+    return near.select(*columns).mapInArrow(both, schema)

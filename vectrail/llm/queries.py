@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectrail.llm import bpe, langid, license_scan, packing, secrets, simhash, sst, url_filter
+from vectrail.llm import ann, bpe, embed_join, langid, license_scan, packing, secrets, simhash, sst, url_filter
 from vectrail.runtime import shared_path
 
 
@@ -113,6 +113,11 @@ def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op7_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector's links and component of near-duplicates of its label."""
+    return embed_join.links(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op8_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets in each document."""
     def shown(spans: Column) -> Column:
@@ -132,8 +137,25 @@ def op9_simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    return ann.search(_table(spark, sf_dir, "embeddings"), 20, F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_cascade, op2_sst_token_shards, op3_license_index, op4_byte_bpe, op5_best_two_fit_packing, op6_rank_order_language, op8_secret_spans, op9_simhash_gray_index)}
+    every = (
+        op1_url_cascade,
+        op2_sst_token_shards,
+        op3_license_index,
+        op4_byte_bpe,
+        op5_best_two_fit_packing,
+        op6_rank_order_language,
+        op7_epsilon_grid_join,
+        op8_secret_spans,
+        op9_simhash_gray_index,
+        op10_adaptive_dimension_scan,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
