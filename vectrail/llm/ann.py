@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.llm import intervals
-from vectrail.llm.embed_join import unit, usable
+from vectrail.llm.embed_join import sample, unit, usable
 from vectrail.runtime import materialize, share_code
 
-#: Vectors that centres are fitted on, at most; rounds; lists, at most; share of the lists that a query probes.
+#: Vectors that centres are fitted on, about; rounds; lists, at most; share of the lists that a query probes.
 SAMPLE, ROUNDS, LISTS, PROBED = 16384, 8, 1024, 0.7
 #: Vectors of a block of candidates and of queries; columns of a step; standard deviations of the test.
 BLOCK, QUERIES, COLUMNS, SIGMAS = 4096, 512, 16, 3.0
@@ -36,12 +36,8 @@ SEED = 11
 
 def fit(rows: DataFrame, lists: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """(centres, rotation) for each length of vectors in a bounded sample."""
-    sample = rows.select("embedding").orderBy(F.xxhash64("embedding", "uid")).limit(SAMPLE).collect()  # SAMPLE rows at most
-    by_size: dict[int, list] = {}
-    for (v,) in sample:
-        by_size.setdefault(len(v), []).append(v)
     out = {}
-    for n, vectors in sorted(by_size.items()):
+    for n, vectors in sorted(sample(rows, SAMPLE, "embedding", "uid").items()):
         u = np.unique(unit(np.array(vectors, np.float64)), axis=0)
         random = np.random.default_rng(SEED)
         centres = u[random.permutation(len(u))[:lists]]

@@ -28,7 +28,7 @@ from vectrail.llm import intervals
 from vectrail.llm.components import components
 from vectrail.runtime import materialize, share_code
 
-#: Vectors that the rotation is fitted on, at most; dimensions of the grid; vectors of a block and of a run.
+#: Vectors that the rotation is fitted on, about; dimensions of the grid; vectors of a block and of a run.
 SAMPLE, GRID, BLOCK, RUN = 8192, 8, 1024, 64
 #: Products this near the threshold are computed anew on the vectors as given.
 SLACK = 1e-9
@@ -47,12 +47,19 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def rotations(distinct: DataFrame) -> dict[int, np.ndarray]:
-    """For each length of vectors in a bounded sample: the rotation to principal directions, largest spread first."""
-    rows = distinct.select("embedding").orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()  # SAMPLE rows at most
+def sample(rows: DataFrame, size: int, *key: str) -> dict[int, list]:
+    """About ``size`` of the vectors (all if there are fewer), chosen by a hash of ``key``, by their length."""
+    unit, total = 1 << 30, max(rows.count(), 1)
+    chosen = rows.where(F.pmod(F.xxhash64(*key), F.lit(unit)) < min(unit, -(-size * unit // total)))
     by_size: dict[int, list] = {}
-    for (v,) in rows:
+    for (v,) in chosen.select("embedding").collect():
         by_size.setdefault(len(v), []).append(v)
+    return by_size
+
+
+def rotations(distinct: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors in a bounded sample: the rotation to principal directions, largest spread first."""
+    by_size = sample(distinct, SAMPLE, "embedding")
     out = {}
     for n, vectors in by_size.items():
         u = unit(np.array(vectors, np.float64))
