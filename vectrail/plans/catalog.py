@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrail.functions import sql as Q
 from vectrail.functions import text as T
 from vectrail.functions import vectors as V
 from vectrail.functions.text import ChunkOptions
@@ -86,6 +87,18 @@ def search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(S.top_k(store_rows(spark, sf_dir), vector_of(spark, sf_dir, 0), 10, DIMS))
 
 
+@query(topk_sql(q=1))
+def sql_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL text; the query's side is one row."""
+    Q.register(spark)
+    statement = """
+      SELECT id, round(exact, 6) AS score FROM (
+        SELECT e.vec_id AS id, vec_cosine(e.embedding, q.embedding) AS exact
+        FROM {rows} e, (SELECT embedding FROM {rows} WHERE vec_id = 1 LIMIT 1) q)
+      ORDER BY exact DESC, id LIMIT 10"""
+    return spark.sql(statement, rows=table(spark, sf_dir, "embeddings"))
+
+
 @query(topk_sql("e.vec_id % 7 = 0"))
 def search_id_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(S.top_k(store_rows(spark, sf_dir), vector_of(spark, sf_dir, 0), 10, DIMS, F.col("id") % 7 == 0))

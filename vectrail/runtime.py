@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +52,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
+    """Jobs started inside carry ``tag``; the function that is given cancels them, from any thread."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield lambda: context.cancelJobsWithTag(tag)
+    finally:
+        context.removeJobTag(tag)
