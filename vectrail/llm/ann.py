@@ -27,8 +27,8 @@ from vectrail.llm import intervals
 from vectrail.llm.embed_join import sample, unit, usable
 from vectrail.runtime import materialize, share_code
 
-#: Vectors that centres are fitted on, about; rounds; lists, at most; share of the lists that a query probes.
-SAMPLE, ROUNDS, LISTS, PROBED = 16384, 8, 1024, 0.7
+#: Vectors that centres are fitted on, about; rounds; lists, at least and at most; vectors of a list; share of the lists probed.
+SAMPLE, ROUNDS, LEAST_LISTS, LISTS, PER_LIST, PROBED = 16384, 8, 24, 1024, 1000, 0.75
 #: Vectors of a block of candidates and of queries; columns of a step; standard deviations of the test.
 BLOCK, QUERIES, COLUMNS, SIGMAS = 4096, 512, 16, 3.0
 SEED = 11
@@ -117,7 +117,7 @@ def search(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     valid = vectors.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = materialize(valid.withColumn("uid", F.monotonically_increasing_id()), "vectors")
     total = rows.count()
-    lists = max(1, min(LISTS, round(math.sqrt(total))))
+    lists = max(1, min(LISTS, max(LEAST_LISTS, total // PER_LIST)))
     models = fit(rows, lists)
     probed = max(1, math.ceil(PROBED * lists))
 
