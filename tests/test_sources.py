@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vectrail.functions import sql
-from vectrail.runtime import cancellable
+from vectrail.runtime import cancellable, drop_scratch, materialize, shared_root
 from vectrail.sources.textfiles import read_texts
 
 
@@ -35,3 +35,12 @@ def test_cancellation(spark):
         with pytest.raises(Exception, match="(?i)cancel"):
             spark.range(4, numPartitions=4).select(F.udf(slow, "long")("id")).collect()
         timer.join()
+
+
+def test_scratch(spark):
+    assert "://" in shared_root(spark)
+    table = materialize(spark.range(5).toDF("x"), "t")
+    assert table.count() == 5
+    drop_scratch(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()

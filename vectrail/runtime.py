@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[str] = []
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -35,12 +36,29 @@ def shared_root(spark: SparkSession) -> str:
         else:
             root = "file://" + tempfile.mkdtemp(prefix="vectrail-")
             spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    at, system = _located(spark, root)
+    full = system.makeQualified(at).toString().rstrip("/")  # the same place for Spark and for Python
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def _located(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this process wrote to the shared folder; results that are not yet written anywhere else are lost."""
+    while _SCRATCH:
+        at, system = _located(spark, _SCRATCH.pop())
+        system.delete(at, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
