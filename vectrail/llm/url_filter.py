@@ -140,7 +140,8 @@ def judge(pages: DataFrame, block: list[str], allow: list[str], listed: list[str
     universe = materialize(found, "universe")
     hits = {}
     for name, rules in lists.items():
-        cascade = build(spark.createDataFrame([(r,) for r in sorted(set(rules))], "key string"), universe)
+        known = F.array(*[F.lit(r) for r in sorted(set(rules))]).cast("array<string>")
+        cascade = build(spark.range(1).select(F.explode(known).alias("key")), universe)
         hits[name] = [F.when(cascade.holds(keys[s]), keys[s]) for s in sorted({_shape(r) for r in rules})]
 
     def entry(key: Column, verdict: str) -> Column:
