@@ -150,13 +150,13 @@ def search(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     made = "size int, uids binary, ids binary, vectors binary"
     listed = materialize(rows.mapInArrow(lambda b: assign(b, 1), schema), "listed")
     asked = materialize(rows.where(is_query).mapInArrow(lambda b: assign(b, probed), schema), "asked")
-    candidates = intervals.cut(listed, ["uid"], BLOCK, made, pack)
+    candidates = intervals.cut(intervals.dealt(listed, "uid", BLOCK // 2), ["uid"], BLOCK, made, pack, "part")
 
     def pack_queries(table: pa.Table) -> dict:
         return pack(table) | {"kths": table.column("kth").to_numpy().tobytes()}
 
     def probe(queries: DataFrame, label: str) -> DataFrame:
-        blocks = intervals.cut(queries, ["uid"], QUERIES, f"{made}, kths binary", pack_queries)
+        blocks = intervals.cut(intervals.dealt(queries, "uid", QUERIES // 2), ["uid"], QUERIES, f"{made}, kths binary", pack_queries, "part")
         schema = "q_uid bigint, query_id bigint, uid bigint, vec_id bigint, score double"
         return materialize(intervals.across(blocks, candidates, ([*payload, "kths"], payload), kernel, schema), label)
 

@@ -23,16 +23,21 @@ from vectrail.runtime import materialize, share_code
 FANOUT = 16
 
 
-def cut(rows: DataFrame, order: list[str], size: int, schema: str, pack: Callable[[pa.Table], dict]) -> DataFrame:
+def cut(rows: DataFrame, order: list[str], size: int, schema: str, pack: Callable[[pa.Table], dict], deal: str | None = None) -> DataFrame:
     """Blocks (block, grp, and what ``pack`` makes of at most ``size`` rows of one ``grp``) of ``rows``, sorted by grp and ``order``.
 
-    The result is a written table.
+    With ``deal`` the rows of a group and of a value of that column make a block, whatever the number of partitions
+    (see ``dealt``); else ranges do. The result is a written table.
     """
     share_code(rows.sparkSession)
 
     def chop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, held = TaskContext.get().partitionId(), 0, []
 
+        def key(batch: pa.RecordBatch) -> np.ndarray:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("grp", deal or "grp")]
+            return np.stack(columns, axis=1)
+
         def close() -> dict:
             nonlocal made, held
             out = pack(pa.Table.from_batches(held))
@@ -44,10 +49,10 @@ def cut(rows: DataFrame, order: list[str], size: int, schema: str, pack: Callabl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            groups = batch.column("grp").to_numpy(zero_copy_only=False)
-            borders = np.flatnonzero(groups[1:] != groups[:-1]) + 1
+            groups = key(batch)
+            borders = np.flatnonzero((groups[1:] != groups[:-1]).any(axis=1)) + 1
             for low, high in zip([0, *borders.tolist()], [*borders.tolist(), len(groups)], strict=True):
-                if held and held[0].column("grp")[0].as_py() != groups[low]:
+                if held and (key(held[0].slice(0, 1))[0] != groups[low]).any():
                     ready.append(close())
                 while low < high:
                     room = size - sum(b.num_rows for b in held)
@@ -68,10 +73,24 @@ def cut(rows: DataFrame, order: list[str], size: int, schema: str, pack: Callabl
 
     full = StructType.fromDDL(f"block bigint, grp bigint, {schema}")
     arrow = to_arrow_schema(full)
-    ordered = rows.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order)
+    if deal:
+        ordered = rows.repartition("grp", deal).sortWithinPartitions("grp", deal, *order)
+    else:
+        ordered = rows.repartitionByRange("grp", *order).sortWithinPartitions("grp", *order)
     return materialize(ordered.mapInArrow(chop, full), "blocks")
 
 
+def dealt(rows: DataFrame, by: str, size: int) -> DataFrame:
+    """``rows`` with ``part``: as many parts of each grp as give about ``size`` rows each, dealt by a hash of ``by``.
+
+    There must be few groups; how many rows they have is counted, so the number of parts follows.
+    """
+    counts = rows.groupBy(F.col("grp").alias("v_grp")).agg(F.count("*").alias("v_n"))
+    sized = rows.join(F.broadcast(counts), F.col("grp") == F.col("v_grp"))
+    part = F.pmod(F.xxhash64(by), F.ceil(F.col("v_n") / size)).cast("int")
+    return sized.withColumn("part", part).drop("v_grp", "v_n")
+
+
 def pairs(blocks: DataFrame, merge: list[Column], summary: list[str], far: Callable[[str, str], Column]) -> DataFrame:
     """(l, r), l < r, of the blocks of a group that are not provably far apart.
 
