@@ -174,4 +174,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     root = clusters(own.select("v_print"))
     kept = own.join(root, "v_print").groupBy("v_root").agg(F.min("v_first").alias("v_first"))
     kept = materialize(kept.select(F.col("v_first.u").alias("v_uid")), "kept")
-    return held.join(kept, "v_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Merged at every size: what moves then grows as the documents do.
+    return held.join(kept.hint("merge"), "v_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
