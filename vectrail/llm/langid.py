@@ -16,49 +16,74 @@ never learned from. Extra columns are not read, but for ``reject_unidentified``,
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from heapq import nsmallest
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.runtime import share_code
 
-#: Labelled documents of a language to learn from, about; n-grams of a profile; letters of an n-gram.
-SAMPLE, PROFILE, LONGEST = 1000, 300, 3
+#: Labelled documents of a language to learn from, about; n-grams of a profile.
+SAMPLE, PROFILE = 1000, 300
 #: A text that scores less is in none of the learned languages.
 LEAST = 0.1
-WORDS = re.compile(r"[^\W\d_]+")
-
-
-def ngrams(text: str) -> Counter:
-    """How often each n-gram of the text's words occurs."""
-    words: Counter = Counter(WORDS.findall(text.lower()))
-    grams: Counter = Counter()
-    get = grams.get
-    for word, n in words.items():
-        if not word.isalpha():  # numerals that are no digits
-            word = "".join(filter(str.isalpha, word))
-            if not word:
-                continue
-        w = f"_{word}_"
-        for g in word:
-            grams[g] = get(g, 0) + n
-        for a in range(len(w) - 1):
-            g = w[a : a + 2]
-            grams[g] = get(g, 0) + n
-        for a in range(len(w) - 2):
-            g = w[a : a + 3]
-            grams[g] = get(g, 0) + n
-    return grams
-
-
-def ranked(grams: Counter) -> list[str]:
-    """The most frequent n-grams, ties by code points."""
-    return [g for _, g in nsmallest(PROFILE, [(-n, g) for g, n in grams.items()])]
+#: The mark of a word's border; bits of a letter in an n-gram's code; letters that are counted at a time.
+BORDER, BITS, SLICE = 95, 21, 1 << 20
+
+_LETTERS: list[np.ndarray] = []
+
+
+def letters() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    if not _LETTERS:
+        _LETTERS.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _LETTERS[0]
+
+
+def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the n-grams of a text's words, by code.
+
+    A code holds the letters from the highest bits down, so codes sort as the n-grams do.
+    """
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    here = letters()[points]
+    if not here.any():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Words with one border between them: what is no letter counts once, where it follows a letter.
+    ends = ~here
+    ends[1:] &= here[:-1]
+    ends[0] = False
+    c = np.where(here, points, BORDER)[here | ends].astype(np.int64)
+    c = np.concatenate([[BORDER], c, [BORDER] if c[-1] != BORDER else []]).astype(np.int64)
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = 0
+    while low < len(c) - 1:
+        high = len(c)
+        if high - low > SLICE:
+            high = low + SLICE
+            stops = np.flatnonzero(c[low + 1 : high] == BORDER)
+            later = np.flatnonzero(c[high:] == BORDER) if not len(stops) else stops
+            high = (low + 2 + int(stops[-1])) if len(stops) else high + int(later[0]) + 1
+        w = c[low:high]
+        pairs = w[:-1] << BITS | w[1:]
+        three = (pairs[:-1] << BITS | w[2:])[w[1:-1] != BORDER]
+        every = np.sort(np.concatenate([w[w != BORDER] << 2 * BITS, pairs << BITS, three]))
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        codes = np.concatenate([codes, every[first]])
+        counts = np.concatenate([counts, np.diff(np.append(first, len(every)))])
+        low = high - 1
+        if len(codes) > len(first):
+            codes, at = np.unique(codes, return_inverse=True)
+            counts = np.bincount(at, counts).astype(np.int64)
+    return codes, counts
+
+
+def ranked(text: str) -> np.ndarray:
+    """The codes of a text's most frequent n-grams, ties by code."""
+    codes, counts = ngrams(text)
+    return codes[np.argsort(-counts, kind="stable")[:PROFILE]]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -66,7 +91,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame) -> dict[str, dict[str, int]]:
+def learn(docs: DataFrame) -> dict[str, dict[int, int]]:
     """Each language's n-grams with their places, from ``docs`` (doc_id, text, lang) that are not held out."""
     share_code(docs.sparkSession)
     fit = docs.where("lang is not null and doc_id is not null and text is not null").where(~held_out(F.col("doc_id")))
@@ -78,47 +103,57 @@ def learn(docs: DataFrame) -> dict[str, dict[str, int]]:
     chosen = fit.where(F.pmod(F.xxhash64("doc_id"), F.lit(unit)) < shares[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, Counter] = {}
         for batch in batches:
+            by_lang: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total.setdefault(lang, Counter()).update(ngrams(text))
-        for lang, grams in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())], ["lang", "gram", "n"])
+                by_lang.setdefault(lang, []).append(ngrams(text))
+            for lang, found in by_lang.items():
+                codes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([f[1] for f in found]), len(codes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], ["lang", "gram", "n"])
 
-    grams = chosen.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = chosen.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = grams.withColumn("place", place).where(F.col("place") <= PROFILE)
-    out: dict[str, dict[str, int]] = {}
+    out: dict[str, dict[int, int]] = {}
     for r in top.select("lang", "gram", "place").collect():  # a profile for each language
         out.setdefault(r["lang"], {})[r["gram"]] = r["place"] - 1
     return out
 
 
-def classify(text: str | None, profiles: dict[str, dict[str, int]]) -> tuple[str, float]:
-    """(language, score) of a text."""
-    order = ranked(ngrams(text or ""))
-    if not order or not profiles:
-        return "und", 0.0
-    best = None
-    for lang in sorted(profiles):
-        get = profiles[lang].get
-        distance = 0
-        for place, gram in enumerate(order):
-            there = get(gram)
-            distance += PROFILE if there is None else abs(there - place)
-        if best is None or distance < best[0]:
-            best = distance, lang
-    return best[1], 1.0 - best[0] / (PROFILE * len(order))
-
-
-def predict(docs: DataFrame, keep: list[str], profiles: dict[str, dict[str, int]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+class Classifier:
+    """Profiles as a table: a row for each language, a column for each n-gram of any profile."""
+
+    def __init__(self, profiles: dict[str, dict[int, int]]):
+        self.names = sorted(profiles)
+        self.codes = np.array(sorted({g for p in profiles.values() for g in p}), np.int64)
+        #: Far beyond any place, so that a missing n-gram's distance is cut to the fixed one.
+        self.places = np.full((len(self.names), len(self.codes) + 1), 2 * PROFILE, np.int64)
+        for k, name in enumerate(self.names):
+            for at, code in enumerate(self.codes.tolist()):
+                self.places[k, at] = profiles[name].get(code, 2 * PROFILE)
+
+    def classify(self, text: str | None) -> tuple[str, float]:
+        """(language, score) of a text."""
+        order = ranked(text or "")
+        if not len(order) or not self.names:
+            return "und", 0.0
+        at = np.searchsorted(self.codes, order)
+        at[self.codes[np.minimum(at, len(self.codes) - 1)] != order] = len(self.codes)
+        distance = np.minimum(np.abs(self.places[:, at] - np.arange(len(order))), PROFILE).sum(axis=1)
+        best = int(np.argmin(distance))
+        return self.names[best], 1.0 - int(distance[best]) / (PROFILE * len(order))
+
+
+def predict(docs: DataFrame, keep: list[str], profiles: dict[str, dict[int, int]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, the language and the score of ``text``."""
     share_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Classifier(profiles).classify
         for batch in batches:
             n = batch.num_columns - 1
-            found = [classify(t.as_py(), profiles) for t in batch.column(n)]
+            found = [classify(t.as_py()) for t in batch.column(n)]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], [*batch.schema.names[:n], *names])
 
