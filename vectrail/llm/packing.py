@@ -26,7 +26,7 @@ from vectrail.llm.tokens import encoder
 from vectrail.runtime import materialize, share_code
 
 #: Pieces that one ranking bucket of a length holds on average, at most.
-BUCKET = 5_000
+BUCKET = 1_000
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
