@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -23,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.tokens import CHUNKS, WHITE
+from vectrail.llm.tokens import Chunks, Memo, class_of_white
 from vectrail.runtime import share_code
 
-#: Chunks and pairs held by a worker; emptied when full.
-CACHE, HELD_CHARS, PAIRS = 200_000, 64, 1_000_000
+#: Pairs of tokens that a worker remembers; emptied when full.
+PAIRS = 1_000_000
 
 _CODECS: dict[tuple[str, str], Codec] = {}
 
@@ -42,8 +43,7 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes[rank] = token
         self.size = [len(t) for t in self.bytes]
-        #: White space as Unicode defines it, which the module's own class is wider than.
-        self.split = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")).findall
+        self.split = regex.compile(class_of_white(pattern)).findall
         self.find = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in ranks.items():
             self.find.add_word(token.decode("latin-1"), rank)
@@ -67,7 +67,8 @@ class Codec:
                     break
                 left = self.shorter[left]
         self.memo.clear()
-        self.held: dict[str, tuple[list[int], bytes]] = {}
+        self.pieces = Memo()
+        self.chunks = Chunks(self._chunk)
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether merges keep the border between tokens a and b.
@@ -117,7 +118,7 @@ class Codec:
             longest[end - size[rank] + 1] = rank  # ends ascend: the longest comes last
         out: list[int] = []
         dead = bytearray(len(piece) + 1)
-        at, token = 0, longest[0]
+        at, token = 0, longest[0] if piece else -1
         while at < len(piece):
             while token >= 0:
                 end = at + size[token]
@@ -137,23 +138,19 @@ class Codec:
         return out
 
     def _chunk(self, chunk: str) -> list[int]:
-        return [i for piece in self.split(chunk) for i in self.merge(piece.encode())]
-
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a text, chunk by chunk: the pattern never spans a border of non-space and white space."""
         out: list[int] = []
-        held = self.held
-        for chunk in CHUNKS.findall(text or ""):
-            ids = held.get(chunk)
+        for piece in self.split(chunk):
+            ids = self.pieces.get(piece)
             if ids is None:
-                ids = self._chunk(chunk)
-                if len(chunk) <= HELD_CHARS:
-                    if len(held) >= CACHE:
-                        held.clear()
-                    held[chunk] = ids
+                ids = self.merge(piece.encode())
+                self.pieces.put(piece, ids)
             out += ids
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a text, chunk by chunk: the pattern never spans a border of non-space and white space."""
+        return list(chain.from_iterable(self.chunks.parts(text))) if text else []
+
     def decode(self, ids) -> bytes:
         table = self.bytes
         return b"".join([table[i] for i in ids])
@@ -170,10 +167,8 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataTy
     """``df`` with a column made from another by ``make()``, a function built once in each task."""
     share_code(df.sparkSession)
     kept = [c for c in df.columns if c != target]
-    at = df.columns.index(source)
     plain = df.select(*[F.col(f"`{c}`") for c in kept if c != source or source != target], F.col(f"`{source}`").alias("__source"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__source"), f"`{target}` {kind}"])
-    del at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()

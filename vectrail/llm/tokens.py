@@ -1,65 +1,148 @@
-"""Token ids by the ``tokenizers`` library, chunk by chunk behind a bounded cache.
+"""Token ids by the ``tokenizers`` library's models, word by word behind bounded caches.
 
-Both supported pre-tokenizers put a token boundary wherever a non-space character is followed by
-white space, and look at nothing beyond the white space and the characters after it. So a text's
-ids are the ids of its chunks (white space, then non-space characters) put together, and a chunk
-seen before need not be encoded again. The cache only saves time: it is emptied when full.
+Both supported pre-tokenizers put a token border wherever a non-space character is followed by white space,
+and look at nothing beyond that white space and the characters after it. So a text's ids are those of its
+chunks (white space, then non-space characters) put together. A chunk's ids are those of its
+pre-tokens, which the library's model merges. Both are remembered; the caches only save time.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 
 import numpy as np
+import regex
 from tokenizers import Tokenizer
 
 #: The code points with Unicode's White_Space property, as ranges of a pattern's class.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Chunks held; about 100 MB.
-CACHE = 300_000
-#: Longer chunks are encoded but not held.
-HELD_CHARS = 64
+#: White space that a blank follows: then blanks are not borders of chunks.
+WIDE = re.compile(f"[{WHITE}] ")
+#: Entries of a generation of a cache, and the longest text that is remembered: about 150 MB for a worker.
+HELD, HELD_CHARS = 250_000, 48
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-class ChunkEncoder:
+class Memo:
+    """A bounded cache of two generations: what is not asked for while a generation fills is forgotten."""
+
+    def __init__(self, size: int = HELD):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(key) > HELD_CHARS:
+            return
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def class_of_white(pattern: str) -> str:
+    r"""A pattern with ``\s`` and ``\S`` as Unicode defines white space; the regex module's own class is wider."""
+    return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
+
+
+class Chunks:
+    """Cuts texts into chunks and remembers what ``make`` gives for each; one cache for chunks after a blank, one for others."""
+
+    def __init__(self, make):
+        self.make, self.spaced, self.other = make, Memo(), Memo()
+
+    def _of(self, chunk: str):
+        found = self.other.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+            self.other.put(chunk, found)
+        return found
+
+    def _after_blank(self, word: str) -> list:
+        found = self.spaced.get(word)
+        if found is not None:
+            return [found]
+        chunks = CHUNKS.findall(" " + word)
+        if len(chunks) == 1:
+            found = self.make(chunks[0])
+            self.spaced.put(word, found)
+            return [found]
+        return [self._of(c) for c in chunks]
+
+    def parts(self, text: str) -> list:
+        """What the chunks of a text give, in order."""
+        if WIDE.search(text):
+            return [self._of(c) for c in CHUNKS.findall(text)]
+        words = text.split(" ")
+        first = [self._of(c) for c in CHUNKS.findall(words[0])]
+        get = self.spaced.young.get
+        found = [get(w) for w in words[1:]]
+        if None not in found:
+            return first + found
+        out = first
+        for word, value in zip(words[1:], found, strict=True):
+            if value is None:
+                if word:
+                    out += self._after_blank(word)
+                else:  # the text ends in a blank
+                    out.append(self._of(" "))
+            else:
+                out.append(value)
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Encoder:
     """``encode(text)``: the ids as little-endian unsigned 32-bit integers, without special tokens.
 
     Strings of special tokens in a text are ordinary text. None encodes as an empty text.
     """
 
     def __init__(self, path: str):
+        import public_tokenizers
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.held: dict[str, bytes] = {}
+        with open(path, encoding="utf8") as f:
+            stated = json.load(f)["pre_tokenizer"]
+        patterns = [p["pattern"]["Regex"] for p in stated.get("pretokenizers", []) if p["type"] == "Split"]
+        self.split = regex.compile(class_of_white(patterns[0] if patterns else public_tokenizers.PATTERN)).findall
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
+        self.letters = _byte_letters()
+        self.model = self.tokenizer.model.tokenize
+        self.pieces = Memo()
+        self.chunks = Chunks(self._chunk)
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, found, strict=True)}
+    def _chunk(self, chunk: str) -> bytes:
+        out = []
+        for piece in self.split(self.normal(chunk) if self.normal else chunk):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = np.array([t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+                self.pieces.put(piece, ids)
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = CHUNKS.findall(text)
-        held = self.held
-        fresh = [c for c in dict.fromkeys(chunks) if c not in held]
-        if not fresh:
-            return b"".join([held[c] for c in chunks])
-        new = self._learn(fresh)
-        out = b"".join([held[c] if c in held else new[c] for c in chunks])
-        if len(held) + len(new) > CACHE:
-            held.clear()
-        held.update((c, v) for c, v in new.items() if len(c) <= HELD_CHARS)
-        return out
+        return b"".join(self.chunks.parts(text)) if text else b""
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each vocabulary file and Python worker."""
     if path not in _ENCODERS:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _ENCODERS[path] = ChunkEncoder(path)
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
