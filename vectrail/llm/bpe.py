@@ -67,6 +67,8 @@ class Codec:
                     break
                 left = self.shorter[left]
         self.memo.clear()
+        #: Whether the pattern takes a word of letters with a blank before it as one piece.
+        self.words = r"| ?\p{L}+|" in pattern
         self.pieces = Memo()
         self.chunks = Chunks(self._chunk)
 
@@ -139,7 +141,8 @@ class Codec:
 
     def _chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
-        for piece in self.split(chunk):
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        for piece in [chunk] if self.words and word.isalpha() else self.split(chunk):
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = self.merge(piece.encode())

@@ -11,8 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -21,8 +21,9 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: White space that a blank follows: then blanks are not borders of chunks.
 WIDE = re.compile(f"[{WHITE}] ")
-#: Entries of a generation of a cache, and the longest text that is remembered: about 150 MB for a worker.
-HELD, HELD_CHARS = 250_000, 48
+#: Entries of a generation of a cache (of chunks after a blank, of other chunks, of pre-tokens), and the longest text
+#: that is remembered: at most about 300 MB for a worker.
+SPACED, OTHER, PIECES, HELD_CHARS = 400_000, 50_000, 250_000, 48
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -30,7 +31,7 @@ _ENCODERS: dict[str, Encoder] = {}
 class Memo:
     """A bounded cache of two generations: what is not asked for while a generation fills is forgotten."""
 
-    def __init__(self, size: int = HELD):
+    def __init__(self, size: int = PIECES):
         self.size, self.young, self.old = size, {}, {}
 
     def get(self, key: str):
@@ -56,7 +57,7 @@ class Chunks:
     """Cuts texts into chunks and remembers what ``make`` gives for each; one cache for chunks after a blank, one for others."""
 
     def __init__(self, make):
-        self.make, self.spaced, self.other = make, Memo(), Memo()
+        self.make, self.spaced, self.other = make, Memo(SPACED), Memo(OTHER)
 
     def _of(self, chunk: str):
         found = self.other.get(chunk)
@@ -69,7 +70,7 @@ class Chunks:
         found = self.spaced.get(word)
         if found is not None:
             return [found]
-        chunks = CHUNKS.findall(" " + word)
+        chunks = [" " + word] if word.isalpha() else CHUNKS.findall(" " + word)
         if len(chunks) == 1:
             found = self.make(chunks[0])
             self.spaced.put(word, found)
@@ -121,20 +122,32 @@ class Encoder:
         patterns = [p["pattern"]["Regex"] for p in stated.get("pretokenizers", []) if p["type"] == "Split"]
         self.split = regex.compile(class_of_white(patterns[0] if patterns else public_tokenizers.PATTERN)).findall
         self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
+        #: Whether white space is no part of any pre-token; else a blank before a word is.
+        self.drops_white = bool(patterns)
         self.letters = _byte_letters()
         self.model = self.tokenizer.model.tokenize
         self.pieces = Memo()
         self.chunks = Chunks(self._chunk)
 
+    def _pieces(self, chunk: str) -> list[str]:
+        """The pre-tokens of a chunk; most chunks are one word of letters, which is seen without the pattern."""
+        if self.normal:
+            # In ASCII, all that normalizing changes besides white space is case.
+            chunk = chunk.lower() if chunk.isascii() else self.normal(chunk)
+        word = chunk[1:] if chunk[:1] == " " else chunk
+        if word.isalpha():
+            return [word if self.drops_white else chunk]
+        return self.split(chunk)
+
     def _chunk(self, chunk: str) -> bytes:
         out = []
-        for piece in self.split(self.normal(chunk) if self.normal else chunk):
+        for piece in self._pieces(chunk):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = np.array([t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+                ids = array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
                 self.pieces.put(piece, ids)
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         return b"".join(self.chunks.parts(text)) if text else b""
