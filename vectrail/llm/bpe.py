@@ -15,10 +15,11 @@ named as an output is replaced.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,6 +31,10 @@ from vectrail.runtime import share_code
 #: Pairs of tokens that a worker remembers; emptied when full.
 PAIRS = 1_000_000
 
+#: Rows of a batch that goes back.
+ROWS = 512
+
+_TABLES: dict[str, list[bytes]] = {}
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -139,20 +144,24 @@ class Codec:
                 at -= size[token]
         return out
 
-    def _chunk(self, chunk: str) -> list[int]:
-        out: list[int] = []
+    def _chunk(self, chunk: str) -> bytes:
+        out = []
         word = chunk[1:] if chunk[:1] == " " else chunk
         for piece in [chunk] if self.words and word.isalpha() else self.split(chunk):
             ids = self.pieces.get(piece)
             if ids is None:
-                ids = self.merge(piece.encode())
+                ids = array("i", self.merge(piece.encode())).tobytes()
                 self.pieces.put(piece, ids)
-            out += ids
-        return out
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text as 32-bit integers, chunk by chunk: the pattern never spans a border of non-space and white space."""
+        return b"".join(self.chunks.parts(text)) if text else b""
 
     def encode(self, text: str | None) -> list[int]:
-        """Ids of a text, chunk by chunk: the pattern never spans a border of non-space and white space."""
-        return list(chain.from_iterable(self.chunks.parts(text))) if text else []
+        """Ids of a text."""
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         table = self.bytes
@@ -166,30 +175,31 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataType, make) -> DataFrame:
-    """``df`` with a column made from another by ``make()``, a function built once in each task."""
+def _table(path: str) -> list[bytes]:
+    """Each id's bytes."""
+    if path not in _TABLES:
+        with open(path, "rb") as f:
+            ranks = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)]
+        _TABLES[path] = [b""] * (max(r for r, _ in ranks) + 1)
+        for rank, token in ranks:
+            _TABLES[path][rank] = token
+    return _TABLES[path]
+
+
+def _mapped(df: DataFrame, source: str, target: str, kind: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
+    """``df`` with a column made from another by ``make()``, a function on slices of a batch that is built once in each task."""
     share_code(df.sparkSession)
     kept = [c for c in df.columns if c != target]
     plain = df.select(*[F.col(f"`{c}`") for c in kept if c != source or source != target], F.col(f"`{source}`").alias("__source"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__source"), f"`{target}` {kind}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
+        make_column = make()
         for batch in batches:
             n = batch.num_columns - 1
-            source_values = batch.column(n)
-            low = 0
-            while low < batch.num_rows:  # slices of bounded size
-                high, held = low, 0
-                values = []
-                while high < batch.num_rows and held < 8 << 20:
-                    value = source_values[high].as_py()
-                    held += 4 * len(value) if value is not None else 1
-                    values.append(one(value))
-                    high += 1
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], pa.array(values, arrow)], [*batch.schema.names[:n], target])
-                low = high
+            for low in range(0, batch.num_rows, ROWS):
+                part = batch.slice(low, ROWS)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], make_column(part.column(n))], [*batch.schema.names[:n], target])
 
     return plain.mapInArrow(run, schema)
 
@@ -197,17 +207,28 @@ def _mapped(df: DataFrame, source: str, target: str, kind: str, arrow: pa.DataTy
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with the ids (``array<int>``) of a text column."""
 
-    def make():
-        return codec(path, pattern).encode
+    def make() -> Callable[[pa.Array], pa.Array]:
+        packed = codec(path, pattern).packed
+
+        def column(texts: pa.Array) -> pa.Array:
+            found = [packed(t.as_py()) for t in texts]
+            ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+        return column
 
-    return _mapped(df, text, ids, "array<int>", pa.list_(pa.int32()), make)
+    return _mapped(df, text, ids, "array<int>", make)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes (``binary``) of a column of ids."""
 
-    def make():
-        held = codec(path, pattern)
-        return lambda value: held.decode(value or [])
+    def make() -> Callable[[pa.Array], pa.Array]:
+        table = _table(path)
+
+        def column(lists: pa.Array) -> pa.Array:
+            return pa.array([b"".join([table[i] for i in x.values.to_numpy(zero_copy_only=False).tolist()]) if x.is_valid else b"" for x in lists], pa.binary())
+
+        return column
 
-    return _mapped(df, ids, decoded, "binary", pa.binary(), make)
+    return _mapped(df, ids, decoded, "binary", make)
