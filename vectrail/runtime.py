@@ -14,12 +14,20 @@ _SCRATCH: list[str] = []
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
+#: Bounds of the Arrow batches that go to Python workers, where the session sets none: a batch of whole texts is then
+#: as small as one of numbers.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def share_code(spark: SparkSession) -> None:
-    """Lets Python workers import this package from the driver's install path.
+    """Lets Python workers import this package from the driver's install path, and bounds what they get at a time.
 
     Workers on other hosts get the package by ``--py-files`` or an image as usual; the
     path entry is harmless there.
     """
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, "1") == "1":  # not set
+            spark.conf.set(key, most)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
@@ -72,6 +80,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or that and underscores, so that no column has it (names do not differ by case)."""
+    held = {c.lower() for c in columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 @contextlib.contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[Callable[[], None]]:
     """Jobs started inside carry ``tag``; the function that is given cancels them, from any thread."""
