@@ -68,13 +68,16 @@ def test_any_bytes(tik, codec, data):
 def test_columns(spark, tik):
     args = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
     docs = documents(spark)
-    rows = bpe.decode(bpe.encode(docs, *args), *args).collect()
+    rows = bpe.decode(bpe.encode(docs, *args), args[0]).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert r["ids"] == tik.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
         assert r["v_print"] in ("x", None)  # other columns stay
+    assert sorted(map(str, bpe.round_trip(docs, *args).select(*rows[0].__fields__).collect())) == sorted(map(str, rows))
     assert bpe.encode(docs.limit(0), *args).count() == 0
-    assert bytes(bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), *args).first()["decoded"]) == b""
+    assert bytes(bpe.decode(spark.createDataFrame([(None,)], "ids array<int>"), args[0]).first()["decoded"]) == b""
+    odd = r"\w+|\W"  # a pattern whose matches say nothing about chunks
+    assert bpe.codec(args[0], odd).encode("a-b, c") == [i for p in ("a", "-", "b", ",", " ", "c") for i in tik._encode_single_piece(p.encode())]
 
 
 def test_shards(spark, tmp_path):

@@ -8,8 +8,9 @@ next shorter prefix; a position that led nowhere is marked and never entered aga
 exactly that of the merges in rank order, in time linear in the piece.
 
 Results: a null text encodes as an empty text, which has no ids; null ids decode to an empty binary.
-Rows are encoded each, so repeated rows give repeated results. Extra columns are kept; an input column
-named as an output is replaced.
+Very long texts are encoded whole, one at a time. Rows are encoded each, so repeated rows give repeated
+results; there are no ties. An empty table gives no rows. Extra columns are kept; an input column named as an
+output is replaced.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ from collections.abc import Callable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.tokens import Chunks, Memo, class_of_white
-from vectrail.runtime import share_code
+from vectrail.llm.tokens import Chunks, class_of_white, packed, slices
+from vectrail.runtime import share_code, unused
 
 #: Pairs of tokens that a worker remembers; emptied when full.
-PAIRS = 1_000_000
+PAIRS = 250_000
+#: Ids that are decoded at a time (those of one row at least).
+DECODED = 1 << 20
 
-#: Rows of a batch that goes back.
-ROWS = 512
-
-_TABLES: dict[str, list[bytes]] = {}
+_TABLES: dict[str, pa.Array] = {}
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -72,10 +73,10 @@ class Codec:
                     break
                 left = self.shorter[left]
         self.memo.clear()
-        #: Whether the pattern takes a word of letters with a blank before it as one piece.
-        self.words = r"| ?\p{L}+|" in pattern
-        self.pieces = Memo()
-        self.chunks = Chunks(self._chunk)
+        #: Whether the pattern takes letters with a blank before them, and marks, as one piece each and never spans a
+        #: border of non-space and white space; else texts are split whole.
+        self.chunked = r"| ?\p{L}+|" in pattern and r"| ?[^\s\p{L}\p{N}]+|" in pattern
+        self.chunks = Chunks(lambda word: self._ids(" " + word), self.split, self._ids)
 
     def _apart(self, a: int, b: int) -> bool:
         """Whether merges keep the border between tokens a and b.
@@ -144,24 +145,20 @@ class Codec:
                 at -= size[token]
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        out = []
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        for piece in [chunk] if self.words and word.isalpha() else self.split(chunk):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = array("i", self.merge(piece.encode())).tobytes()
-                self.pieces.put(piece, ids)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def packed(self, text: str | None) -> bytes:
-        """Ids of a text as 32-bit integers, chunk by chunk: the pattern never spans a border of non-space and white space."""
-        return b"".join(self.chunks.parts(text)) if text else b""
+    def _ids(self, piece: str) -> bytes:
+        return array("i", self.merge(piece.encode())).tobytes()
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids as 32-bit integers."""
+        if self.chunked:
+            yield from packed(self.chunks, texts)
+        else:
+            for t in texts:
+                yield b"".join(map(self._ids, self.split(t.as_py() or "")))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text."""
-        return np.frombuffer(self.packed(text), np.int32).tolist()
+        return np.frombuffer(next(self.batch(pa.array([text], pa.string()))), np.int32).tolist()
 
     def decode(self, ids) -> bytes:
         table = self.bytes
@@ -175,60 +172,92 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _table(path: str) -> list[bytes]:
+def _table(path: str) -> pa.Array:
     """Each id's bytes."""
     if path not in _TABLES:
         with open(path, "rb") as f:
             ranks = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, f)]
-        _TABLES[path] = [b""] * (max(r for r, _ in ranks) + 1)
+        table = [b""] * (max(r for r, _ in ranks) + 1)
         for rank, token in ranks:
-            _TABLES[path][rank] = token
+            table[rank] = token
+        _TABLES[path] = pa.array(table, pa.large_binary())
     return _TABLES[path]
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: str, make: Callable[[], Callable[[pa.Array], pa.Array]]) -> DataFrame:
-    """``df`` with a column made from another by ``make()``, a function on slices of a batch that is built once in each task."""
+def _mapped(df: DataFrame, source: str, targets: dict[str, str], make: Callable[[], Callable[[pa.Array], Iterator[tuple[pa.Array, ...]]]]) -> DataFrame:
+    """``df`` with columns made from another by ``make()``, a function from a batch's column to the new ones, run by run, built once in each task."""
     share_code(df.sparkSession)
-    kept = [c for c in df.columns if c != target]
-    plain = df.select(*[F.col(f"`{c}`") for c in kept if c != source or source != target], F.col(f"`{source}`").alias("__source"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__source"), f"`{target}` {kind}"])
+    held = unused("v_source", [*df.columns, *targets])
+    plain = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in targets], F.col(f"`{source}`").alias(held))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != held), *(f"`{n}` {kind}" for n, kind in targets.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make_column = make()
+        columns = make()
         for batch in batches:
-            n = batch.num_columns - 1
-            for low in range(0, batch.num_rows, ROWS):
-                part = batch.slice(low, ROWS)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], make_column(part.column(n))], [*batch.schema.names[:n], target])
+            n, low = batch.num_columns - 1, 0
+            for parts in columns(batch.column(n)):
+                rows = batch.slice(low, len(parts[0]))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:n], *parts], [*batch.schema.names[:n], *targets])
+                low += len(parts[0])
 
     return plain.mapInArrow(run, schema)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the ids (``array<int>``) of a text column."""
+def _ids_of(batch: Callable[[pa.Array], Iterator[bytes]], texts: pa.Array) -> Iterator[pa.Array]:
+    for part in slices(texts.cast(pa.large_string())):
+        found = list(batch(part))
+        ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
+        yield pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _bytes_of(table: pa.Array, lists: pa.Array) -> Iterator[pa.Array]:
+    sizes = pc.binary_length(table).to_numpy()
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    borders = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    flat, low = lists.flatten(), 0
+    while low < len(lists):
+        high = max(low + 1, int(np.searchsorted(borders, borders[low] + DECODED, "right")) - 1)
+        own = flat.slice(borders[low], borders[high] - borders[low])
+        ends = np.concatenate([[0], np.cumsum(sizes[own.to_numpy(zero_copy_only=False)])])
+        places = ends[borders[low : high + 1] - borders[low]].astype(np.int32)
+        data = table.take(own).buffers()[2]  # the tokens' bytes, one after another
+        yield pa.BinaryArray.from_buffers(pa.binary(), high - low, [None, pa.py_buffer(places), data])
+        low = high
 
-    def make() -> Callable[[pa.Array], pa.Array]:
-        packed = codec(path, pattern).packed
 
-        def column(texts: pa.Array) -> pa.Array:
-            found = [packed(t.as_py()) for t in texts]
-            ends = np.cumsum([0, *(len(f) // 4 for f in found)]).astype(np.int32)
-            return pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(found), np.int32)))
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """``df`` with the ids (``array<int>``) of a text column."""
 
-        return column
+    def make() -> Callable[[pa.Array], Iterator[tuple[pa.Array]]]:
+        batch = codec(path, pattern).batch
+        return lambda texts: ((x,) for x in _ids_of(batch, texts))
 
-    return _mapped(df, text, ids, "array<int>", make)
+    return _mapped(df, text, {ids: "array<int>"}, make)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``df`` with the bytes (``binary``) of a column of ids."""
 
-    def make() -> Callable[[pa.Array], pa.Array]:
+    def make() -> Callable[[pa.Array], Iterator[tuple[pa.Array]]]:
         table = _table(path)
+        return lambda lists: ((x,) for x in _bytes_of(table, lists))
+
+    return _mapped(df, ids, {decoded: "binary"}, make)
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in the same workers: the ids of a text column, and the bytes that these ids stand for."""
+
+    def make() -> Callable[[pa.Array], Iterator[tuple[pa.Array, pa.Array]]]:
+        batch, table = codec(path, pattern).batch, _table(path)
 
-        def column(lists: pa.Array) -> pa.Array:
-            return pa.array([b"".join([table[i] for i in x.values.to_numpy(zero_copy_only=False).tolist()]) if x.is_valid else b"" for x in lists], pa.binary())
+        def columns(texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+            for found in _ids_of(batch, texts):
+                low = 0
+                for data in _bytes_of(table, found):
+                    yield found.slice(low, len(data)), data
+                    low += len(data)
 
-        return column
+        return columns
 
-    return _mapped(df, ids, decoded, "binary", make)
+    return _mapped(df, text, {ids: "array<int>", decoded: "binary"}, make)

@@ -43,8 +43,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokenizer.encode(text) + end
+            for doc_id, found in zip(batch.column(0).to_pylist(), tokenizer.batch(batch.column(1)), strict=True):
+                ids = found + end
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
                     length = (n - at - 1) % capacity + 1 if at == 0 else capacity

@@ -93,8 +93,7 @@ FROM found
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of each text, and the bytes decoded from them."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
-    both = bpe.decode(encoded.select("doc_id", "ids"), *vocabulary)
+    both = bpe.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary).select("doc_id", "ids", "decoded")
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

@@ -6,9 +6,9 @@ first key, a Bloom filter over the keys, and a fixed-size footer. ``write_table`
 documents by identifier and writes a shard for each partition; the manifest names the shards of the
 attempts that Spark committed, so files of lost or repeated attempts are never read.
 
-Results: a null text has no ids but the end id. Rows of equal doc_id are kept, ordered by text (null
-first). A null doc_id sorts before all others. An empty table gives no shards and reads back empty.
-Extra columns are not read.
+Results: a null or empty text has no ids but the end id. Very long texts are one entry, in a block of their own
+size. Rows of equal doc_id are kept, ordered by a hash of their text and then by the text. A null doc_id sorts
+before all others. An empty table gives no shards and reads back empty. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -224,14 +224,14 @@ def write_table(docs: DataFrame, path: str, vocabulary: str, end_id: int) -> Non
         id_bytes = 2 if max(tokenizer.tokenizer.get_vocab_size(), end_id + 1) <= 65536 else 4
         part, writer, first, last, docs_n, ids_n = TaskContext.get().partitionId(), None, None, None, 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, found in zip(batch.column(0).to_pylist(), tokenizer.batch(batch.column(1)), strict=True):
                 if writer is None:
                     system, folder = fs.FileSystem.from_uri(path)
                     system.create_dir(folder, recursive=True)
                     name = f"part-{part:06d}-{uuid.uuid4().hex}.sst"
                     out = system.open_output_stream(f"{folder}/{name}")
                     writer, first = ShardWriter(out, id_bytes), doc_id
-                ids = np.append(np.frombuffer(tokenizer.encode(text), "<u4"), np.uint32(end_id))
+                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
                 writer.add(pack_key(doc_id), ids.astype(f"<u{id_bytes}").tobytes())
                 last, docs_n, ids_n = doc_id, docs_n + 1, ids_n + len(ids)
         if writer is not None:

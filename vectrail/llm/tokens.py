@@ -3,7 +3,11 @@
 Both supported pre-tokenizers put a token border wherever a non-space character is followed by white space,
 and look at nothing beyond that white space and the characters after it. So a text's ids are those of its
 chunks (white space, then non-space characters) put together. A chunk's ids are those of its
-pre-tokens, which the library's model merges. Both are remembered; the caches only save time.
+pre-tokens, which the library's model merges.
+
+A batch of texts is cut at its blanks and dictionary-encoded by Arrow, so each distinct word is looked up once
+a batch, and Python touches no word twice; the ids are then gathered by the words' codes. What was made for a
+word, chunk or pre-token is remembered across batches; the caches only save time.
 """
 
 from __future__ import annotations
@@ -11,20 +15,33 @@ from __future__ import annotations
 import json
 import os
 import re
+import string
 from array import array
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 #: The code points with Unicode's White_Space property, as ranges of a pattern's class.
 WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: White space that a blank follows: then blanks are not borders of chunks.
-WIDE = re.compile(f"[{WHITE}] ")
-#: Entries of a generation of a cache (of chunks after a blank, of other chunks, of pre-tokens), and the longest text
-#: that is remembered: at most about 300 MB for a worker.
-SPACED, OTHER, PIECES, HELD_CHARS = 400_000, 50_000, 250_000, 48
-
+#: White space that a blank follows: then blanks are not borders of chunks. Written out for Arrow's expressions.
+WIDE = "[" + "".join(chr(c) for c in range(0x3001) if re.match(f"[{WHITE}]", chr(c))) + "] "
+#: Entries of a generation of a cache (of words after a blank, of other chunks, of pre-tokens), and the longest text
+#: that is remembered: at most about 100 MB for a worker.
+SPACED, OTHER, PIECES, HELD_CHARS = 250_000, 40_000, 40_000, 48
+#: Bytes of the texts that are encoded at a time (one text at least).
+SLICE = 8 << 20
+#: The ASCII characters that are no letters, digits or white space; words of letters all of which are
+#: whole characters, with one lower-case letter each.
+MARKS = string.punctuation
+LATIN = re.compile("[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff]+")
+
+_ID = attrgetter("id")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -53,57 +70,104 @@ def class_of_white(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]")
 
 
+def slices(texts: pa.Array, most: int = SLICE) -> Iterator[pa.Array]:
+    """Runs of ``texts`` of at most ``most`` bytes, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(texts):
+        held = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, held + most, "right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
 class Chunks:
-    """Cuts texts into chunks and remembers what ``make`` gives for each; one cache for chunks after a blank, one for others."""
+    """The ids of texts, packed as 32-bit integers.
 
-    def __init__(self, make):
-        self.make, self.spaced, self.other = make, Memo(SPACED), Memo(OTHER)
+    ``word`` gives those of a word of letters and the blank before it, ``pieces`` the pre-tokens of any chunk, ``merge``
+    the ids of a pre-token. What ``letters`` holds for and the ASCII marks after it must be two pre-tokens.
+    """
+
+    def __init__(self, word: Callable[[str], bytes], pieces: Callable[[str], list[str]], merge: Callable[[str], bytes], letters: Callable[[str], bool] = str.isalpha):
+        self.word, self.pieces, self.merge, self.letters = word, pieces, merge, letters
+        self.spaced, self.other, self.parts = Memo(SPACED), Memo(OTHER), Memo(PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.parts.get(piece)
+        if found is None:
+            found = self.merge(piece)
+            self.parts.put(piece, found)
+        return found
 
-    def _of(self, chunk: str):
+    def _other(self, chunk: str) -> bytes:
         found = self.other.get(chunk)
         if found is None:
-            found = self.make(chunk)
+            found = b"".join([self._piece(p) for p in self.pieces(chunk)])
             self.other.put(chunk, found)
         return found
 
-    def _after_blank(self, word: str) -> list:
+    def _spaced(self, word: str) -> bytes:
+        """The ids of a blank and what stands up to the next one."""
         found = self.spaced.get(word)
         if found is not None:
-            return [found]
-        chunks = [" " + word] if word.isalpha() else CHUNKS.findall(" " + word)
-        if len(chunks) == 1:
-            found = self.make(chunks[0])
+            return found
+        if word.isalpha():
+            found = self.word(word)
             self.spaced.put(word, found)
-            return [found]
-        return [self._of(c) for c in chunks]
-
-    def parts(self, text: str) -> list:
-        """What the chunks of a text give, in order."""
-        if WIDE.search(text):
-            return [self._of(c) for c in CHUNKS.findall(text)]
-        words = text.split(" ")
-        first = [self._of(c) for c in CHUNKS.findall(words[0])]
-        get = self.spaced.young.get
-        found = [get(w) for w in words[1:]]
-        if None not in found:
-            return first + found
-        out = first
-        for word, value in zip(words[1:], found, strict=True):
-            if value is None:
-                if word:
-                    out += self._after_blank(word)
-                else:  # the text ends in a blank
-                    out.append(self._of(" "))
-            else:
-                out.append(value)
-        return out
-
-
-def _byte_letters() -> dict[int, str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+            return found
+        bare = word.rstrip(MARKS)
+        if self.letters(bare):
+            return self._spaced(bare) + self._piece(word[len(bare) :])
+        chunks = CHUNKS.findall(" " + word)
+        if len(chunks) == 1:
+            return self._other(chunks[0])
+        return b"".join([self._spaced(c[1:]) if c[0] == " " and len(c) > 1 and not c[1].isspace() else self._other(c) for c in chunks])
+
+    def whole(self, text: str) -> bytes:
+        """The ids of any text, chunk by chunk."""
+        return b"".join([self._other(c) for c in CHUNKS.findall(text)])
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of each text, ids of all of them) of runs of ``texts``; null is an empty text."""
+        for part in slices(texts.cast(pa.large_string())):
+            yield self._run(pc.fill_null(part, ""))
+
+    def _run(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        wide = pc.match_substring_regex(texts, WIDE)
+        split = pc.split_pattern(pc.if_else(wide, "", texts), " ")
+        starts = split.offsets.to_numpy()[: len(texts)] - split.offsets[0].as_py()
+        coded = split.flatten().dictionary_encode()
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        words = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ") if len(coded.dictionary) else []
+        made = [self._spaced(w) for w in words]
+        # The first word of a text has no blank before it; a text with wide white space is one entry.
+        firsts = [self.whole(w) for w in pc.list_element(split, 0).to_pylist()]
+        for at in np.flatnonzero(wide.to_numpy(zero_copy_only=False)).tolist():
+            firsts[at] = self.whole(texts[at].as_py())
+        codes = coded.indices.to_numpy().astype(np.int64)
+        codes[starts] = len(words) + np.arange(len(texts))
+        made += firsts
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        held = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(made), np.int32)))
+        ids = held.take(pa.array(codes)).flatten().to_numpy().view(np.uint32)
+        return np.add.reduceat(sizes[codes], starts), ids
+
+
+def packed(chunks: Chunks, texts: pa.Array) -> Iterator[bytes]:
+    """Each text's ids, as little-endian unsigned 32-bit integers."""
+    for counts, ids in chunks.encode(texts):
+        data, at = ids.tobytes(), 0
+        for n in (4 * counts).tolist():
+            yield data[at : at + n]
+            at += n
+
+
+def _byte_letters() -> str:
+    """The printable character that stands for each byte in byte-level vocabularies, by byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return "".join(chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256))
 
 
 class Encoder:
@@ -126,31 +190,40 @@ class Encoder:
         self.drops_white = bool(patterns)
         self.letters = _byte_letters()
         self.model = self.tokenizer.model.tokenize
-        self.pieces = Memo()
-        self.chunks = Chunks(self._chunk)
+        self.chunks = Chunks(self._word, self._pieces, self._merge, self._stays if self.normal else str.isalpha)
+
+    def _stays(self, word: str) -> bool:
+        """Whether a word is letters, normalized too."""
+        return word.isalpha() and (word.isascii() or LATIN.fullmatch(word) is not None or self.normal(word).isalpha())
+
+    def _word(self, word: str) -> bytes:
+        if self.normal and not word.isascii():
+            if not LATIN.fullmatch(word):
+                return b"".join(map(self._merge, self._pieces(" " + word)))
+            word = word.lower()
+        return self._merge(word if self.drops_white else " " + word)
 
     def _pieces(self, chunk: str) -> list[str]:
-        """The pre-tokens of a chunk; most chunks are one word of letters, which is seen without the pattern."""
+        """The pre-tokens of a chunk."""
         if self.normal:
             # In ASCII, all that normalizing changes besides white space is case.
             chunk = chunk.lower() if chunk.isascii() else self.normal(chunk)
-        word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha():
-            return [word if self.drops_white else chunk]
         return self.split(chunk)
 
-    def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for piece in self._pieces(chunk):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = array("I", [t.id for t in self.model(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-                self.pieces.put(piece, ids)
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
+    def _merge(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            return self._ids(piece.replace(" ", self.letters[32]))
+        return self._ids(piece.encode().decode("latin-1").translate(self.letters))
+
+    def _ids(self, letters: str) -> bytes:
+        return array("I", map(_ID, self.model(letters))).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.chunks.parts(text)) if text else b""
+        return next(self.batch(pa.array([text], pa.string())))
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """``encode`` of each of many texts."""
+        return packed(self.chunks, pc.ascii_lower(texts) if self.normal else texts)
 
 
 def encoder(path: str) -> Encoder:
