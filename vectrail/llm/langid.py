@@ -9,7 +9,7 @@ Profiles are learned from about ``SAMPLE`` labelled documents of each language (
 chosen by a hash of their identifier; their whole texts count.
 
 Results: lang_pred is ``und`` with score 0 for a null text, one without a letter, or where nothing was
-learned. The score is 1 less the distance as a share of the largest possible one. Languages at equal
+learned. Very long texts count whole, a slice of letters at a time. The score is 1 less the distance as a share of the largest possible one. Languages at equal
 distances: the first by name. Repeated rows are judged each; an empty table gives no rows; a null doc_id is
 never learned from. Extra columns are not read, but for ``reject_unidentified``, which keeps them.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.runtime import share_code
+from vectrail.runtime import share_code, unused
 
 #: Labelled documents of a language to learn from, about; n-grams of a profile.
 SAMPLE, PROFILE = 1000, 300
@@ -105,8 +105,8 @@ def learn(docs: DataFrame) -> dict[str, dict[int, int]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict[str, list] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(ngrams(text))
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                by_lang.setdefault(lang, []).append(ngrams(text.as_py()))
             for lang, found in by_lang.items():
                 codes, at = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
                 counts = np.bincount(at, np.concatenate([f[1] for f in found]), len(codes)).astype(np.int64)
@@ -148,6 +148,7 @@ class Classifier:
 def predict(docs: DataFrame, keep: list[str], profiles: dict[str, dict[int, int]], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns, the language and the score of ``text``."""
     share_code(docs.sparkSession)
+    text = unused("v_text", keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(profiles).classify
@@ -157,13 +158,20 @@ def predict(docs: DataFrame, keep: list[str], profiles: dict[str, dict[int, int]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], [*batch.schema.names[:n], *names])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("v_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "v_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias(text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text)
     return source.mapInArrow(run, f"{schema}, {names[0]} string, {names[1]} double")
 
 
 def reject_unidentified(docs: DataFrame) -> DataFrame:
     """``docs`` without those that are ``und`` or score less than ``LEAST``."""
     profiles = learn(docs)
-    judged = predict(docs, docs.columns, profiles, ("v_lang", "v_score"))
-    return judged.where((F.col("v_lang") != "und") & (F.col("v_score") >= LEAST)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classify = Classifier(profiles).classify
+        for batch in batches:
+            found = [classify(t.as_py()) for t in batch.column(at)]
+            yield batch.filter(pa.array([lang != "und" and score >= LEAST for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,8 @@ enough. Per kind, matches are leftmost and do not overlap; one that fails its le
 Kinds of the base: assign, access, hex. Added: github and npm (tokens whose last six digits are
 the base-62 CRC-32 of the thirty before), pem (the first line of a private key).
 
-Results: spans count code points, end exclusive. A null text has none. Repeated rows are scanned each; an empty
+Results: spans count code points, end exclusive. A null or empty text has none; very
+long texts are scanned whole. Where kinds' spans overlap or tie, each kind keeps its own. Repeated rows are scanned each; an empty
 table gives no rows. ``scan`` reads only the columns asked for; ``redact`` keeps all columns.
 """
 
@@ -19,12 +20,14 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vectrail.runtime import share_code
+from vectrail.runtime import share_code, unused
 
 #: Kinds in order, keywords (lower case) with the kind and the expression tried at them.
 KINDS = ("assign", "access", "hex", "github", "npm", "pem")
@@ -122,8 +125,9 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             spans = [to_code_points(t, s) if (s := find(t, automaton)) else [] for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(spans, kind)], [*batch.schema.names[:n], "spans"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias("v_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "v_text")
+    bytes_ = unused("v_text", keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("binary").alias(bytes_))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != bytes_)
     return source.mapInArrow(run, f"{schema}, spans {SPANS}")
 
 
@@ -134,6 +138,11 @@ def redact(docs: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(schema)
     at, counted = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
+    def changed(column: pa.Array, values: dict) -> pa.Array:
+        mask = np.zeros(len(column), bool)
+        mask[list(values)] = True
+        return pc.replace_with_mask(column, pa.array(mask), pa.array(list(values.values()), column.type))
+
     def clean(text: str | None, automaton) -> str | None:
         data = (text or "").encode()
         spans = find(data, automaton)
@@ -149,13 +158,16 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         for batch in batches:
-            old = batch.column(at).to_pylist()
-            new = [clean(t, automaton) for t in old]
+            new: dict[int, str] = {}
+            for k, t in enumerate(batch.column(at)):
+                old = t.as_py()
+                if (text := clean(old, automaton)) != old:
+                    new[k] = text
             columns = [c.cast(f.type) if c.type != f.type else c for c, f in zip(batch.columns, arrow, strict=True)]
-            columns[at] = pa.array(new, arrow.field(at).type)
-            if counted is not None:
-                chars = [len(b) if a != b else n for a, b, n in zip(old, new, batch.column(counted).to_pylist(), strict=True)]
-                columns[counted] = pa.array(chars, arrow.field(counted).type)
+            if new:
+                columns[at] = changed(columns[at], new)
+                if counted is not None:
+                    columns[counted] = changed(columns[counted], {k: len(t) for k, t in new.items()})
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.mapInArrow(run, schema)
