@@ -3,11 +3,15 @@
 Vectors of one label are scaled to length 1 and rotated so that the directions of largest spread lead. A
 cosine of at least t is then a distance of at most e = sqrt(2 - 2t). A grid with cells of width e over the
 leading dimensions orders the vectors; the sorted sequence is joined with itself interval by interval,
-and a pair of intervals whose boxes are more than e apart is skipped with all it holds. In two blocks that
-remain, smaller runs are skipped by their boxes over all dimensions, and the rest is multiplied out.
+and a pair of intervals whose boxes are more than e apart is skipped with all it holds. The length that the
+leading dimensions leave of a vector is one more side of the boxes. In two blocks that remain, smaller runs
+are skipped by their boxes over all dimensions; of the rest, the leading dimensions are multiplied, and only
+pairs that these and the remaining lengths allow to reach t are multiplied out.
 
 Equal vectors are one entry of the sequence with a count, so copies are never expanded into pairs, and of the
-links of a pair of blocks only the counts and a spanning forest leave the task.
+links of a pair of blocks only the counts and a spanning forest leave the task. Rows meet their entry by two
+64-bit hashes of label and vector; the rows of a vector with many copies, and the entries of a large component,
+are dealt to many tasks.
 
 Results: vectors that are null, empty or zero, hold null or non-finite components, or have no label link with
 nothing; so do vectors of different lengths. Repeated rows are linked like any equal vectors. A component is
@@ -26,10 +30,11 @@ from pyspark.sql import functions as F
 
 from vectrail.llm import intervals
 from vectrail.llm.components import components
+from vectrail.llm.spread import heavy_parts, spread_join
 from vectrail.runtime import materialize, share_code
 
-#: Vectors that the rotation is fitted on, about; dimensions of the grid; vectors of a block and of a run.
-SAMPLE, GRID, BLOCK, RUN = 8192, 8, 1024, 64
+#: Vectors that the rotation is fitted on, about; dimensions of the grid, and of the first product; vectors of a block and of a run.
+SAMPLE, GRID, LEAD, BLOCK, RUN = 8192, 8, 16, 1024, 64
 #: Products this near the threshold are computed anew on the vectors as given.
 SLACK = 1e-9
 
@@ -91,6 +96,10 @@ def near(a: np.ndarray, b: np.ndarray | None, least: float, turns: dict[int, np.
     xa = _turn(ua, turns)
     xb = xa if b is None else _turn(ub, turns)
     far = _apart(_boxes(xa), _boxes(xb)) > 2 - 2 * least + SLACK
+    # What the leading directions leave of a product is at most the product of the remaining lengths.
+    (la, ra), (lb, rb) = ((x[:, :LEAD], np.sqrt(np.einsum("ij,ij->i", x[:, LEAD:], x[:, LEAD:]))) for x in (xa, xb))
+    la, lb = np.column_stack([la, ra]), np.column_stack([lb, rb])
+    c = a if b is None else b
     i, j = [], []
     for run in range(len(far)):
         low = run if b is None else 0
@@ -99,18 +108,15 @@ def near(a: np.ndarray, b: np.ndarray | None, least: float, turns: dict[int, np.
             continue
         at = (others[:, None] * RUN + np.arange(RUN)).ravel()
         at = at[at < len(ub)]
-        product = ua[run * RUN : (run + 1) * RUN] @ ub[at].T
-        p, q = np.nonzero(product >= least - SLACK)
-        exact = product[p, q]
+        p, q = np.nonzero(la[run * RUN : (run + 1) * RUN] @ lb[at].T >= least - SLACK)
         p, q = p + run * RUN, at[q]
-        close = np.flatnonzero(np.abs(exact - least) < SLACK)
-        c = a if b is None else b
-        for k in close:
+        if b is None:
+            p, q = p[p < q], q[p < q]
+        exact = np.einsum("ij,ij->i", ua[p], ub[q])
+        for k in np.flatnonzero(np.abs(exact - least) < SLACK):
             x, y = a[p[k]].astype(np.float64), c[q[k]].astype(np.float64)
             exact[k] = x @ y / (math.sqrt(x @ x) * math.sqrt(y @ y))
         keep = exact >= least
-        if b is None:
-            keep &= p < q
         i.append(p[keep])
         j.append(q[keep])
     none = np.zeros(0, np.int64)
@@ -123,9 +129,12 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
     share_code(spark)
     rows = vectors.select("vec_id", "embedding", "label")
     joinable = usable(F.col("embedding")) & F.col("label").isNotNull()
-    valid = rows.where(joinable).select("vec_id", "embedding", (F.shiftleft(F.col("label").cast("long"), 24) + F.size("embedding")).alias("grp"))
+    group = (F.shiftleft(F.col("label").cast("long"), 24) + F.size("embedding")).alias("grp")
+    valid = rows.where(joinable).select("vec_id", "embedding", group)
+    key = F.concat(F.hex(F.xxhash64("grp", "embedding")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "grp", "embedding")))
+    keys = materialize(valid.select("vec_id", key.alias("key"), F.monotonically_increasing_id().alias("uid")), "keys")
     distinct = valid.groupBy("grp", "embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
-    distinct = materialize(distinct.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+    distinct = materialize(distinct.withColumn("key", key).withColumn("rep", F.monotonically_increasing_id()), "vectors")
     turns = rotations(distinct)
     width = math.sqrt(2 - 2 * least)
 
@@ -138,13 +147,15 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
 
     ordered = materialize(distinct.select("rep", "grp", "embedding", "n").mapInArrow(grid, "rep bigint, grp bigint, embedding array<float>, n bigint, cells array<int>"), "grid")
-    sides = [f"{s}{k}" for k in range(GRID) for s in ("lo", "hi")]
+    sides = [f"{s}{k}" for k in range(GRID + 1) for s in ("lo", "hi")]
 
     def pack(table: pa.Table) -> dict:
         a = np.array(table.column("embedding").to_pylist(), np.float32)
         x = _turn(unit(a), turns)[:, :GRID]
         x = np.pad(x, ((0, 0), (0, GRID - x.shape[1])))
-        boxes = {f"lo{k}": float(x[:, k].min()) for k in range(GRID)} | {f"hi{k}": float(x[:, k].max()) for k in range(GRID)}
+        rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))
+        x = np.column_stack([x, rest])
+        boxes = {f"lo{k}": float(x[:, k].min()) for k in range(GRID + 1)} | {f"hi{k}": float(x[:, k].max()) for k in range(GRID + 1)}
         return boxes | {"size": a.shape[1], "reps": table.column("rep").to_numpy().tobytes(), "counts": table.column("n").to_numpy().tobytes(), "vectors": a.tobytes()}
 
     blocks = intervals.cut(ordered, ["cells", "rep"], BLOCK, "size int, reps binary, counts binary, vectors binary, " + ", ".join(f"{s} double" for s in sides), pack)
@@ -152,7 +163,7 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
 
     def far(p: str, q: str) -> Column:
         total = F.lit(0.0)
-        for k in range(GRID):
+        for k in range(GRID + 1):
             gap = F.greatest(F.col(f"{p}_lo{k}") - F.col(f"{q}_hi{k}"), F.col(f"{q}_lo{k}") - F.col(f"{p}_hi{k}"), F.lit(0.0))
             total = total + gap * gap
         return total > limit
@@ -179,10 +190,11 @@ def links(vectors: DataFrame, least: float) -> DataFrame:
     found = materialize(intervals.join(blocks, pairs, ["size", "reps", "counts", "vectors"], kernel, "rep bigint, links bigint, root bigint"), "links")
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     totals = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = distinct.join(totals, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    named = materialize(named.select("rep", "grp", "embedding", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")), "named")
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    table = named.join(smallest, "root").select("grp", "embedding", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id")
-    linked = valid.join(table, ["grp", "embedding"]).select("vec_id", "n_links", "component_id")
+    named = distinct.select("rep", "key", "first", "n").join(totals, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    named = materialize(named.select("rep", "key", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "rep").alias("root")), "named")
+    smallest = materialize(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "smallest")
+    table = spread_join(named, smallest.drop("n"), "root", heavy_parts(smallest, "root", named.count()), F.col("rep"))
+    table = materialize(table.select("key", "n", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id"), "table")
+    linked = spread_join(keys, table.drop("n"), "key", heavy_parts(table, "key", keys.count()), F.col("uid")).select("vec_id", "n_links", "component_id")
     alone = rows.where(~joinable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -10,7 +10,8 @@ in three orders, each with another part in front, and only members of the same l
 part (as many bits as make groups of about ``GROUP``, at most a part's) meet. Pairs of equal fingerprints
 are never made: the index holds each fingerprint once.
 
-Results: a null or blank text has fingerprint 0 and is linked like any other. Repeated rows have equal
+Results: a null or blank text has fingerprint 0 and is linked like any other. Very long texts count whole, a
+slice of shingles at a time. A bit that exactly half the shingles set is 0. Repeated rows have equal
 fingerprints and are linked. A component is named by its smallest doc_id (null ones count last; null if
 there is no other). An empty table gives no rows. Extra columns are not read, but for ``deduplicate``,
 which keeps all columns.
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from vectrail.llm import intervals
 from vectrail.llm.components import components
-from vectrail.runtime import materialize, share_code
+from vectrail.llm.spread import heavy_parts, spread_join
+from vectrail.runtime import materialize, share_code, unused
 
 SEED, WORDS, NEAR = 42, 3, 2
 #: Fingerprints of a group with the same leading bits, about; of a block, at most; of a leaf node.
@@ -63,8 +65,9 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
             prints = np.array([fingerprint(t.as_py()) for t in batch.column(n)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(prints)], [*batch.schema.names[:n], "v_print"])
 
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias("v_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "v_text")
+    text = unused("v_text", keep)
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("binary").alias(text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != text)
     return source.mapInArrow(run, f"{schema}, v_print bigint")
 
 
@@ -154,25 +157,36 @@ def clusters(prints: DataFrame) -> DataFrame:
     return prints.select("v_print").join(joined, "v_print", "left").select("v_print", F.coalesce("v_root", "v_print").alias("v_root"))
 
 
+def _named(own: DataFrame, first: str) -> DataFrame:
+    """v_print, n and ``first`` of its cluster (the least), for each of ``own`` (v_print, n, ``first``; a written table)."""
+    root = clusters(own.select("v_print")).withColumnRenamed("v_print", "v_key")
+    held = materialize(own.join(root, F.col("v_print") == F.col("v_key")).drop("v_key"), "roots")
+    least = materialize(held.groupBy("v_root").agg(F.min(first).alias("v_least"), F.count("*").alias("n")), "least")
+    parts = heavy_parts(least, "v_root", own.count())
+    return spread_join(held, least.drop("n"), "v_root", parts, F.col("v_print")).select("v_print", "n", F.col("v_least").alias(first))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal), component_id of every document."""
-    rows = materialize(fingerprints(docs, ["doc_id"]), "prints")
-    own = materialize(rows.groupBy("v_print").agg(F.min("doc_id").alias("v_first")), "distinct")
-    root = materialize(clusters(own.select("v_print")), "roots")
-    named = own.join(root, "v_print")
-    first = named.groupBy("v_root").agg(F.min("v_first").alias("component_id"))
-    table = materialize(named.select("v_print", "v_root").join(first, "v_root").select("v_print", "component_id"), "named")
-    return rows.join(table, "v_print").select("doc_id", F.lower(F.lpad(F.hex("v_print"), 16, "0")).alias("fingerprint"), "component_id")
+    numbered = docs.select("doc_id", "text").withColumn("v_uid", F.monotonically_increasing_id())
+    rows = materialize(fingerprints(numbered, ["doc_id", "v_uid"]), "prints")
+    own = materialize(rows.groupBy("v_print").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")), "distinct")
+    table = materialize(_named(own, "component_id"), "named")
+    # A fingerprint that many copies share meets its name in many tasks.
+    found = spread_join(rows, table.drop("n"), "v_print", heavy_parts(table, "v_print", rows.count()), F.col("v_uid"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("v_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of equal ones, any one)."""
-    held = materialize(docs.withColumn("v_uid", F.monotonically_increasing_id()), "documents")
-    rows = materialize(fingerprints(held, ["doc_id", "v_uid"]), "prints")
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("v_uid").alias("u"))
-    own = materialize(rows.groupBy("v_print").agg(F.min(place).alias("v_first")), "distinct")
-    root = clusters(own.select("v_print"))
-    kept = own.join(root, "v_print").groupBy("v_root").agg(F.min("v_first").alias("v_first"))
-    kept = materialize(kept.select(F.col("v_first.u").alias("v_uid")), "kept")
+    uid = unused("v_uid", docs.columns)
+    held = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
+    ids = held.select(F.col("doc_id").alias("v_doc"), F.col(uid).alias("v_row"), "text")
+    rows = materialize(fingerprints(ids, ["v_doc", "v_row"]), "prints")
+    place = F.struct(F.col("v_doc").isNull().alias("n"), F.col("v_doc").alias("d"), F.col("v_row").alias("u"))
+    own = materialize(rows.groupBy("v_print").agg(F.min(place).alias("v_first"), F.count("*").alias("n")), "distinct")
+    root = clusters(own.select("v_print")).withColumnRenamed("v_print", "v_key")
+    kept = own.join(root, F.col("v_print") == F.col("v_key")).groupBy("v_root").agg(F.min("v_first").alias("v_first"))
+    kept = materialize(kept.select(F.col("v_first.u").alias(uid)), "kept")
     # Merged at every size: what moves then grows as the documents do.
-    return held.join(kept.hint("merge"), "v_uid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.join(kept.hint("merge"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
