@@ -93,3 +93,20 @@ def test_options():
     for bad in (dict(max_tokens=0), dict(break_strings=())):
         with pytest.raises(ValueError):
             ChunkOptions(**bad)
+
+
+def test_both_default_counters_agree(spark):
+    """White space that only some counters know must not cut a text differently."""
+    texts = ["a\u00a0b\u2003c d. e\u00a0f. g h\x1ci. ", "one\u00a0two. three four. five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    preset = chunk(docs, ChunkOptions(3, "plain", "plain")).collect()
+    listed = chunk(docs, ChunkOptions(3, tuple(T.BREAK_STRINGS["plain"]), ())).collect()
+    assert sorted(preset) == sorted(listed)
+
+
+def test_long_text_without_breaks():
+    import time
+
+    began = time.time()
+    assert cut_segments("a" * 400_000, ["\n", ". "]) == ["a" * 400_000]
+    assert time.time() - began < 5

@@ -108,6 +108,29 @@ def test_batch(spark, store, vectors):
     assert S.batch_top_k(store.rows, queries.limit(0), 3).count() == 0
 
 
+ODD = [None, [], [float("nan")] + [1.0] * (DIMS - 1), [float("inf")] + [1.0] * (DIMS - 1), [None] + [1.0] * (DIMS - 1), [1.0, 2.0], [0.0] * DIMS]
+
+
+@pytest.mark.parametrize("bound", [S.QUERY_BYTES, 0])
+def test_batch_finds_what_single_searches_find(spark, vectors, bound, monkeypatch):
+    """Odd rows and queries, keys that are strings, ties, k beyond the rows; both ways of pairing."""
+    monkeypatch.setattr(S, "QUERY_BYTES", bound)
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "SCORES", 70)
+    held = [(f"r{i:03}", v.tolist()) for i, v in enumerate(vectors[:40])] + [(f"odd{i}", v) for i, v in enumerate(ODD)] + [("twin", vectors[0].tolist()), (None, vectors[1].tolist())]
+    rows = spark.createDataFrame([(i, v, None if v is None else float(np.sqrt(np.sum(np.square(np.array(v, float)))))) for i, v in held], "id string, values array<float>, magnitude double")
+    rows = rows.withColumn("magnitude", V.magnitude(F.col("values"))).repartition(3)
+    asked = [(f"q{i}", vectors[i].tolist()) for i in range(0, 30, 2)] + [(f"x{i}", v) for i, v in enumerate(ODD)]
+    queries = spark.createDataFrame(asked, "query_id string, values array<float>")
+    for k in (1, 3, 100):
+        found = {}
+        for r in S.batch_top_k(rows, queries, k).orderBy("query_id", "rank").collect():
+            found.setdefault(r["query_id"], []).append((r["id"], round(r["score"], 9)))
+        for name, v in asked[:3]:
+            assert found[name] == [(r["id"], round(r["score"], 9)) for r in S.top_k(rows, v, k).collect()]
+        assert {n for n in found if n[0] == "x"} <= {"x5"}  # a query of two dimensions meets the row of two
+
+
 def test_several_stores(spark, vectors):
     a = VectorStore.of("a", DIMS, rows_of(spark, vectors[:100]))
     b = VectorStore.of("b", DIMS, rows_of(spark, vectors[100:]))

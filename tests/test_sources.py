@@ -37,6 +37,26 @@ def test_cancellation(spark):
         timer.join()
 
 
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        @staticmethod
+        def get(*_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_root(Session)
+
+
 def test_scratch(spark):
     assert "://" in shared_root(spark)
     table = materialize(spark.range(5).toDF("x"), "t")

@@ -50,6 +50,70 @@ def test_disk_store(spark, tmp_path):
         DiskStore(spark, "d", path, 2, "string")
 
 
+def test_an_empty_store_has_a_dimension(spark, tmp_path):
+    path = f"file://{tmp_path}/empty"
+    DiskStore(spark, "d", path, 3)
+    with pytest.raises(ValueError, match="3 dimensions"):
+        DiskStore(spark, "d", path, 8)
+
+
+def test_a_named_batch_is_added_once(spark, tmp_path):
+    store = DiskStore(spark, "d", f"file://{tmp_path}/s", 2)
+    store.add(rows(spark, [(1, [1, 0]), (2, [0, 1])]))
+    for _ in range(2):
+        store.add(rows(spark, [(3, [1, 1])]), "x")
+    assert sorted(r["id"] for r in store.rows.collect()) == [1, 2, 3]
+
+
+def test_removals_of_repeated_orders(spark):
+    twice = VectorStore("m", 2, VectorStore.of("m", 2, rows(spark, [(1, [1, 0]), (2, [0, 1])])).rows.unionByName(VectorStore.of("m", 2, rows(spark, [(1, [1, 0]), (1, [5, 5])])).rows))
+    assert values(twice.remove(1)[0]) == [(1, [1.0, 0.0]), (1, [5.0, 5.0]), (2, [0.0, 1.0])]
+    keys = spark.createDataFrame([(1,), (7,)], "k bigint")
+    assert values(twice.remove_first(keys)) == [(1, [1.0, 0.0]), (1, [5.0, 5.0]), (2, [0.0, 1.0])]
+
+
+def test_only_committed_files_are_read(spark, tmp_path, monkeypatch):
+    B.register(spark)
+    path = f"file://{tmp_path}/v"
+    store = VectorStore.of("m", 2, rows(spark, [(n, [n, 1]) for n in range(50)]).repartition(3))
+    store.save(path, "bigint")
+    store.save(path, "bigint")
+    (tmp_path / "v" / "part-000000-000000-lost.vec").write_bytes(b"short")  # of a task that was lost in mid-write
+    one = next(f for f in (tmp_path / "v").glob("*.vec") if f.stat().st_size > 5)
+    (tmp_path / "v" / "part-000000-000000-again.vec").write_bytes(one.read_bytes())  # of a task that ran twice
+    found = VectorStore.load(spark, "b", 2, path, "bigint")
+    assert sorted(r["id"] for r in found.rows.collect()) == sorted([*range(50)] * 2)
+    assert found.rows.select("seq").distinct().count() == 100
+    store.rows.select("id", "values", "magnitude").write.format("vectorfile").options(keyType="bigint", dimension="2").mode("overwrite").save(path)
+    assert VectorStore.load(spark, "b", 2, path, "bigint").count() == 50
+    (tmp_path / "w" / B.MANIFESTS).mkdir(parents=True)
+    (tmp_path / "w" / "part-0.vec").write_bytes(b"short")  # a first write that never committed
+    assert VectorStore.load(spark, "b", 2, f"file://{tmp_path}/w", "bigint").count() == 0
+
+
+def test_files_are_bounded(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr("pyspark.TaskContext", Context)
+    monkeypatch.setattr(B, "FILE_BYTES", 100)
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], "values": [[1.0, 2.0]] * 3, "magnitude": [1.0] * 3}, schema=pa.schema([("id", pa.int64()), ("values", pa.list_(pa.float32())), ("magnitude", pa.float32())]))
+    writer = B.Writer({"path": f"file://{tmp_path}/f", "dimension": "2"}, False)
+    written = writer.write(iter([batch] * 5))
+    assert len(written.names) == 3
+    writer.commit([written])
+    with pytest.raises(ValueError, match="15 records"):
+        B.Writer({"path": f"file://{tmp_path}/f", "dimension": "2", "records": "16"}, False).write(iter([batch] * 5))
+
+
 def test_header_and_sizes():
     assert B.unpack_header(B.pack_header(768, 16, 100)) == (768, 16, 100)
     assert B.record_size(16, 768) == 3093 and B.record_size(4, 3) == 21

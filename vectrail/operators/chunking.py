@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import text as T
 from vectrail.functions.text import ADDITIVE, ChunkOptions
-from vectrail.runtime import share_code
+from vectrail.runtime import share_code, unused
 
 
 def fold(segs: Column, options: ChunkOptions, count: Callable[[Column], Column] = T.count_words, additive: bool = False) -> Column:
@@ -38,20 +39,30 @@ def fold(segs: Column, options: ChunkOptions, count: Callable[[Column], Column]
 def cut_segments(text: str, breaks: list[str]) -> list[str]:
     """Segments by any list of break strings: a segment ends where it stops to end with one."""
     ends = tuple(breaks)
+    reach = max(map(len, breaks))
     out, start, cut = [], 0, -1
     for at in range(1, len(text) + 1):
-        if text[start:at].endswith(ends):
+        if text.endswith(ends, max(start, at - reach), at):
             cut = at
         elif cut >= 0:
             out.append(text[start:cut])
             start, cut = cut, -1
-            if text[start:at].endswith(ends):
+            if text.endswith(ends, max(start, at - reach), at):
                 cut = at
     if start < len(text):
         out.append(text[start:])
     return out
 
 
+#: The default counter's words: runs of what the JVM's ``\\S`` takes, so that both forms count alike.
+_WORDS = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+def count_words(text: str) -> int:
+    """``functions.text.count_words`` in Python."""
+    return len(_WORDS.findall(text))
+
+
 def fold_text(segs: list[str], options: ChunkOptions, count: Callable[[str], int]) -> list[str]:
     """``fold`` for segments and a counter in Python."""
     stops = tuple(s for s in options.stops if s)
@@ -81,15 +92,16 @@ def chunk(docs: DataFrame, options: ChunkOptions | None = None, keep: tuple[str,
         chunks = fold(segs, options, additive=options.break_strings in ADDITIVE)
         return docs.select(*held, F.posexplode(chunks).alias("chunk_index", "chunk"))
     share_code(docs.sparkSession)
-    count = counter or (lambda t: len(t.split()))
+    count = counter or count_words
+    held_text, held_chunks = unused("v_text", list(keep)), unused("v_chunks", list(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_columns - 1
             texts = batch.column(n).to_pylist()
             found = [fold_text(cut_segments(t or "", options.breaks), options, count) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.list_(pa.string()))], [*batch.schema.names[:n], "__chunks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.list_(pa.string()))], [*batch.schema.names[:n], held_chunks])
 
-    source = docs.select(*held, F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(run, f"{schema}, __chunks array<string>").select(*held, F.posexplode("__chunks").alias("chunk_index", "chunk"))
+    source = docs.select(*held, F.col(f"`{text}`").alias(held_text))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != held_text)
+    return source.mapInArrow(run, f"{schema}, {held_chunks} array<string>").select(*held, F.posexplode(held_chunks).alias("chunk_index", "chunk"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
+from concurrent.futures import CancelledError
+from threading import Event
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.functions.text import task_prefix
-from vectrail.runtime import share_code
+from vectrail.runtime import share_code, unused
 
 PURPOSES = ("document", "query")
 
@@ -96,20 +100,41 @@ def unit_mean(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / norm if norm > 0 else mean
 
 
+#: The providers of this Python worker, by service: the last ``WORKER_PROVIDERS`` that were asked for stay loaded.
+_PROVIDERS: dict[str, Provider] = {}
+WORKER_PROVIDERS = 2
+
+
+def worker_provider(service: str, factory: Callable[[], Provider]) -> Provider:
+    """The provider of a service in this process; tasks that follow each other in a worker share it."""
+    found = _PROVIDERS.pop(service, None) or factory()
+    _PROVIDERS[service] = found  # last
+    while len(_PROVIDERS) > WORKER_PROVIDERS:
+        _PROVIDERS.pop(next(iter(_PROVIDERS))).close()
+    return found
+
+
+@atexit.register
+def close_providers() -> None:
+    """Closes what this process still holds."""
+    while _PROVIDERS:
+        _PROVIDERS.popitem()[1].close()
+
+
 class EmbeddingService:
-    """Embeds columns with a provider from ``factory``, built once in each Python worker's task.
+    """Embeds columns with a provider from ``factory``, built once in each Python worker, whatever the number of its tasks.
 
-    ``concurrency`` is the number of partitions that embed at a time (None: as the table comes); a slow provider
-    holds back its input, since batches are pulled. In ``permissive`` mode a text that fails gives null and its
-    message in ``error``.
+    ``concurrency`` is the number of partitions that embed at a time (None: as the table comes). ``batch`` texts go to a
+    provider at once and ``capacity``, if set, bounds those that wait for it in a worker; a slow provider holds back its
+    input, since batches are pulled. In ``permissive`` mode a text that fails gives null and its message in ``error``.
     """
 
-    def __init__(self, factory: Callable[[], Provider], concurrency: int | None = None, batch: int = 256, permissive: bool = False):
-        if concurrency is not None and concurrency < 1:
-            raise ValueError("concurrency must be at least 1")
-        if batch < 1:
-            raise ValueError("batch must be at least 1")
-        self.factory, self.concurrency, self.batch, self.permissive, self.closed = factory, concurrency, batch, permissive, False
+    def __init__(self, factory: Callable[[], Provider], concurrency: int | None = None, batch: int = 256, permissive: bool = False, capacity: int | None = None):
+        for name, value in (("concurrency", concurrency), ("batch", batch), ("capacity", capacity)):
+            if value is not None and value < 1:
+                raise ValueError(f"{name} must be at least 1")
+        self.factory, self.concurrency, self.permissive, self.closed = factory, concurrency, permissive, False
+        self.batch, self.name, self._size = min(batch, capacity or batch), uuid.uuid4().hex, None
 
     def __enter__(self) -> EmbeddingService:
         return self
@@ -126,11 +151,22 @@ class EmbeddingService:
         if purpose not in PURPOSES:
             raise ValueError(f"purpose must be one of {PURPOSES}")
 
-    def embed_text(self, text: str, purpose: str = "document") -> np.ndarray:
-        """One text, here on the driver."""
+    @property
+    def dimension(self) -> int:
+        """The length of the vectors, asked once of a provider."""
+        if self._size is None:
+            provider = self.factory()
+            self._size = provider.dimension
+            provider.close()
+        return self._size
+
+    def embed_text(self, text: str, purpose: str = "document", cancelled: Event | None = None) -> np.ndarray:
+        """One text, here on the driver; not begun once ``cancelled`` is set. Jobs are cancelled by ``runtime.cancellable``."""
         self._check(purpose)
         if text is None:
             raise ValueError("a text is needed")
+        if cancelled is not None and cancelled.is_set():
+            raise CancelledError
         provider = self.factory()
         try:
             return provider.embed([text], purpose)[0]
@@ -142,27 +178,27 @@ class EmbeddingService:
         self._check(purpose)
         share_code(docs.sparkSession)
         rows = docs.repartition(self.concurrency) if self.concurrency else docs
-        rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != output], F.col(f"`{text}`").alias("__text"))
-        factory, size, permissive = self.factory, self.batch, self.permissive
+        held = unused("v_text", rows.columns)
+        rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != output], F.col(f"`{text}`").alias(held))
+        factory, size, permissive, name = self.factory, self.batch, self.permissive, self.name
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            provider = factory()
-            try:
-                for whole in batches:
-                    for low in range(0, whole.num_rows, size):
-                        batch = whole.slice(low, size)
-                        n = batch.num_columns - 1
-                        texts = batch.column(n).to_pylist()
-                        found, errors = _embedded(provider, texts, purpose, permissive)
-                        columns = [*batch.columns[:n], pa.array(found, pa.list_(pa.float32()))]
-                        names = [*batch.schema.names[:n], output]
-                        if permissive:
-                            columns, names = [*columns, pa.array(errors, pa.string())], [*names, "error"]
-                        yield pa.RecordBatch.from_arrays(columns, names)
-            finally:
-                provider.close()
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+            from vectrail.operators import embedding  # the worker's own module, not a copy that came with the function
+
+            provider = embedding.worker_provider(name, factory)
+            for whole in batches:
+                for low in range(0, whole.num_rows, size):
+                    batch = whole.slice(low, size)
+                    n = batch.num_columns - 1
+                    texts = batch.column(n).to_pylist()
+                    found, errors = _embedded(provider, texts, purpose, permissive)
+                    columns = [*batch.columns[:n], pa.array(found, pa.list_(pa.float32()))]
+                    names = [*batch.schema.names[:n], output]
+                    if permissive:
+                        columns, names = [*columns, pa.array(errors, pa.string())], [*names, "error"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != held)
         return rows.mapInArrow(run, f"{schema}, `{output}` array<float>" + (", error string" if permissive else ""))
 
 

@@ -7,14 +7,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
-from vectrail.runtime import share_code
+from vectrail.runtime import materialize, share_code
 
-#: Queries that are multiplied with a batch at a time; bytes of queries that go along with tasks, at most.
-QUERY_BLOCK, QUERY_BYTES = 1024, 64 << 20
+#: Queries that are multiplied with a batch at a time; bytes of queries that go along with tasks, at most; scores of a
+#: product, at most.
+QUERY_BLOCK, QUERY_BYTES, SCORES = 1024, 64 << 20, 4 << 20
 #: Largest k whose rows every task may hold.
 HEAP = 1_000_000
 
@@ -34,15 +36,16 @@ def keep_keys(rows: DataFrame, allow: Column | DataFrame | Callable | None) -> D
         return rows.join(allow.select(F.col(allow.columns[0]).alias("id")).distinct(), "id", "left_semi")
     if isinstance(allow, Column):
         return rows.where(allow)
-    return rows.where(F.udf(allow, "boolean")(F.col("id")))
+    return rows.where(F.udf(allow, "boolean", useArrow=True)(F.col("id")))
 
 
 def scored(rows: DataFrame, query: Sequence[float]) -> DataFrame:
-    """id and cosine of every row of ``rows`` (id, values, magnitude); NaN scores are dropped, zero vectors score 0."""
+    """id and cosine of every row of ``rows`` (id, values, magnitude); other lengths, null and NaN scores are dropped, zero vectors score 0."""
     q = V.literal(query)
     norm = F.lit(math.sqrt(sum(float(x) * float(x) for x in query)))
     score = V.cosine(q, norm, F.col("values"), F.col("magnitude").cast("double"))
-    return rows.select("id", score.alias("score")).where(~F.isnan("score"))
+    fine = rows.where(F.size("values") == len(query))
+    return fine.select("id", score.alias("score")).where(F.col("score").isNotNull() & ~F.isnan("score"))
 
 
 def top_k(rows: DataFrame, query: Sequence[float], k: int, dimension: int | None = None, allow: Column | DataFrame | Callable | None = None) -> DataFrame:
@@ -80,60 +83,126 @@ def search_stores(stores: Sequence, query: Sequence[float], k: int) -> DataFrame
 
 
 def batch_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, id, score: the k best of ``rows`` (id, values) for each of ``queries`` (query_id, values).
+    """query_id, rank, id, score: the k best of ``rows`` (id, values) for each of ``queries`` (query_id, values), ties by id.
 
-    One pass over the rows: each task keeps its k best of every query, a grouped limit joins them. The queries go along
-    with the tasks in blocks; more of them than the bound are searched block by block.
+    Ids are of any type that sorts. As in ``top_k``, null, NaN and infinite vectors and those of another length than the
+    query's are no hits, zero vectors score 0, and a query that is null, empty, zero or not finite finds nothing.
+
+    Queries of a checked size go along with the tasks: one pass over the rows, in which each task keeps its k best of every
+    query, and a grouped limit joins them. More queries are cut into blocks, and blocks of queries meet blocks of rows.
     """
+    key, asked = rows.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {asked}, id {key}, score double"
     if k <= 0:
-        return rows.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score")).where(F.lit(False))
+        return rows.sparkSession.createDataFrame([], f"query_id {asked}, rank int, id {key}, score double")
     share_code(rows.sparkSession)
-    found = None
-    block: list = []
-    size = 0
-    for row in queries.select("query_id", "values").toLocalIterator():
-        block.append((row[0], row[1]))
-        size += 8 * len(row[1])
-        if size >= QUERY_BYTES:
-            part = _searched(rows, block, k)
-            found = part if found is None else found.unionByName(part)
-            block, size = [], 0
-    if block or found is None:
-        part = _searched(rows, block, k)
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _searched(rows: DataFrame, queries: list, k: int) -> DataFrame:
-    queries = [(i, v) for i, v in queries if v and any(v)]
-    ids = np.array([i for i, _ in queries], np.int64)
-    q = np.array([v for _, v in queries], np.float64)
-    if len(q):
-        q = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
+    there = queries.where("values is not null and size(values) > 0").select("query_id", "values")
+    size = there.agg(F.sum(F.size("values").cast("long") * 8 + 64)).first()[0] or 0
+    if size <= QUERY_BYTES:
+        blocks = _blocks(there.toArrow().combine_chunks().to_batches())
+        found = rows.select("id", "values").mapInArrow(lambda batches: _best_of(blocks, batches, k), schema)
+    else:
+        found = _paired(rows, there, k, schema, key, asked)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, best = [np.zeros(0, np.int64)] * len(q), [np.zeros(0)] * len(q)
-        for batch in batches:
-            if not len(q) or not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = QUERY_BLOCK) -> list[tuple[pa.Array, np.ndarray]]:
+    """(ids, unit vectors) of runs of finite vectors (column 1) of one length; a zero vector stays zero."""
+    out = []
+    for batch in batches:
+        vectors = batch.column(1)
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        for n in np.unique(sizes[sizes > 0]).tolist():
+            at = pa.array(np.flatnonzero(sizes == n))
+            x = pc.list_flatten(vectors.take(at)).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)  # null components: NaN
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+            fine = np.isfinite(norm)
+            ids, x, norm = batch.column(0).take(at).filter(pa.array(fine)), x[fine], norm[fine]
             x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
-            for low in range(0, len(q), QUERY_BLOCK):
-                scores = q[low : low + QUERY_BLOCK] @ x.T
-                for i, s in enumerate(scores, low):
-                    few = np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-12) if len(s) > k else np.flatnonzero(~np.isnan(s))
-                    both, values = np.concatenate([keys[i], own[few]]), np.concatenate([best[i], s[few]])
-                    order = np.lexsort((both, -values))[:k]
-                    keys[i], best[i] = both[order], values[order]
-        for i in range(len(q)):
-            if len(keys[i]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[i]), ids[i])), pa.array(keys[i]), pa.array(best[i])], ["query_id", "id", "score"])
-
-    found = rows.select(F.col("id").cast("long"), "values").mapInArrow(run, "query_id bigint, id bigint, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+            out += [(ids.slice(low, most), x[low : low + most]) for low in range(0, len(x), most)]
+    return out
+
+
+def _scores(queries: tuple[pa.Array, np.ndarray], rows: tuple[pa.Array, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of queries, places of rows, scores) of all that may be among the k best."""
+    q, x = queries[1], rows[1]
+    products = q @ x.T
+    if len(x) > k:
+        products[products < np.partition(products, -k, axis=1)[:, -k, None] - 1e-12] = -np.inf
+    products[~q.any(axis=1)] = -np.inf  # a zero query finds nothing
+    i, j = np.nonzero(np.isfinite(products))
+    return i, j, np.einsum("ij,ij->i", q[i], x[j])  # summed alike for equal vectors, so that these tie
+
+
+class _Kept:
+    """The k best rows of each query of a block, as tables that are cut back when they have grown."""
+
+    def __init__(self, ids: pa.Array, k: int):
+        self.ids, self.k, self.parts, self.held = ids, k, [], 0
+
+    def add(self, i: np.ndarray, rows: pa.Array, scores: np.ndarray) -> None:
+        self.parts.append(pa.table({"q": i, "id": rows, "score": scores}))
+        self.held += len(i)
+        if self.held > 2 * self.k * len(self.ids) + SCORES:
+            self.parts = [self.best()]
+            self.held = len(self.parts[0])
+
+    def best(self) -> pa.Table:
+        every = pa.concat_tables(self.parts)
+        order = pc.sort_indices(every, [("q", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start")
+        every = every.take(order)
+        q = every.column("q").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        return every.filter(pa.array(rank < self.k))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            best = self.best().combine_chunks()
+            yield from pa.table({"query_id": self.ids.take(best.column("q")), "id": best.column("id"), "score": best.column("score")}).to_batches(1 << 16)
+
+
+def _best_of(blocks: list[tuple[pa.Array, np.ndarray]], batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of all ``batches`` (id, values) for each query."""
+    kept = [_Kept(ids, k) for ids, _ in blocks]
+    for batch in batches:
+        for rows in _blocks([batch], SCORES // QUERY_BLOCK):
+            for n, queries in enumerate(blocks):
+                if rows[1].shape[1] == queries[1].shape[1]:
+                    i, j, scores = _scores(queries, rows, k)
+                    kept[n].add(i, rows[0].take(pa.array(j)), scores)
+    for x in kept:
+        yield from x.batches()
+
+
+def _paired(rows: DataFrame, queries: DataFrame, k: int, schema: str, key: str, asked: str) -> DataFrame:
+    """Blocks of queries and of rows of one length, paired by number; the vectors follow the pairs, which spread over tasks."""
+
+    def packed(side: DataFrame, p: str, kind: str) -> DataFrame:
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, x in _blocks([batch]):
+                    yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]]), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([x.tobytes()])], ["n", f"{p}_ids", f"{p}_values"])
+
+        made = side.mapInArrow(pack, f"n bigint, {p}_ids array<{kind}>, {p}_values binary")
+        return materialize(made.withColumn(p, F.monotonically_increasing_id()), "blocks")
+
+    left, right = packed(queries, "q", asked), packed(rows.select("id", "values"), "r", key)
+    near = left.select("n", "q").join(right.select("n", "r"), "n")
+    both = near.join(right.drop("n"), "r").join(left.drop("n"), "q").select("n", "q_ids", "q_values", "r_ids", "r_values")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                n, q_ids, q, r_ids, r = (batch.column(c)[at] for c in range(5))
+                queries, rows = ((ids.values, np.frombuffer(x.as_py(), np.float64).reshape(-1, n.as_py())) for ids, x in ((q_ids, q), (r_ids, r)))
+                kept = _Kept(queries[0], k)
+                i, j, scores = _scores(queries, rows, k)
+                kept.add(i, rows[0].take(pa.array(j)), scores)
+                yield from kept.batches()
+
+    return both.mapInArrow(run, schema)
 
 
 def fetch_content(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:

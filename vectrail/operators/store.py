@@ -6,6 +6,7 @@ computed when rows are added. Equal ids may repeat.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -53,19 +54,24 @@ class VectorStore:
         """Appends; ids may repeat."""
         return VectorStore(self.name, self.dimension, self.rows.unionByName(prepared(rows, self.dimension, self._next())))
 
+    def _without(self, gone: DataFrame) -> VectorStore:
+        """Without one row of each (id, seq) of ``gone``: callers may repeat an order, and then the others stay."""
+        named = gone.select(F.col("id").alias("g_id"), F.col("seq").alias("g_seq"))
+        same = F.col("id").eqNullSafe(F.col("g_id")) & (F.col("seq") == F.col("g_seq"))
+        nth = F.row_number().over(Window.partitionBy("id", "seq").orderBy("magnitude", "values"))
+        tied = self.rows.join(named, same, "left_semi").withColumn("nth", nth).where("nth > 1").drop("nth")
+        return VectorStore(self.name, self.dimension, self.rows.join(named, same, "left_anti").unionByName(tied))
+
     def remove(self, key) -> tuple[VectorStore, bool]:
         """Without the first row of a key, and whether there was one."""
-        first = self.rows.where(F.col("id") == F.lit(key)).agg(F.min("seq")).first()[0]
-        if first is None:
-            return self, False
-        return VectorStore(self.name, self.dimension, self.rows.where(F.col("seq") != first)), True
+        first = self.rows.where(F.col("id") == F.lit(key)).groupBy("id").agg(F.min("seq").alias("seq"))
+        found = first.collect()  # one row at most
+        return (self._without(self.rows.sparkSession.createDataFrame(found, first.schema)), True) if found else (self, False)
 
     def remove_first(self, keys: DataFrame) -> VectorStore:
-        """Without the first row of each of many keys (a table of ids)."""
-        nth = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
-        named = keys.select(F.col(keys.columns[0]).alias("id"), F.lit(True).alias("gone")).distinct()
-        left = self.rows.withColumn("nth", nth).join(named, "id", "left").where(F.col("gone").isNull() | (F.col("nth") > 1))
-        return VectorStore(self.name, self.dimension, left.select("id", "values", "magnitude", "seq"))
+        """Without the first row of each of many keys (a table of ids); only listed rows are looked at for it, without their vectors."""
+        named = keys.select(F.col(keys.columns[0]).alias("id")).distinct()
+        return self._without(self.rows.select("id", "seq").join(named, "id", "left_semi").groupBy("id").agg(F.min("seq").alias("seq")))
 
     def count(self) -> int:
         return self.rows.count()
@@ -84,9 +90,11 @@ class VectorStore:
 
     def save(self, path: str, key: str, single: bool = False) -> None:
         """Writes the rows in order in the binary format: a file of each partition, or one file."""
-        ordered = self.rows.orderBy("seq")
-        ordered = ordered.coalesce(1) if single else ordered
-        ordered.select("id", "values", "magnitude").write.format("vectorfile").options(keyType=key, dimension=str(self.dimension)).mode("append").save(path)
+        ordered = self.rows.orderBy("seq").select("id", "values", "magnitude")
+        options = {"keyType": key, "dimension": str(self.dimension)}
+        if single:
+            ordered, options = ordered.coalesce(1), options | {"records": str(self.rows.count())}
+        ordered.write.format("vectorfile").options(**options).mode("append").save(path)
 
     @classmethod
     def load(cls, spark: SparkSession, name: str, dimension: int, path: str, key: str) -> VectorStore:
@@ -105,7 +113,9 @@ class DiskStore:
     """A store in a folder: Parquet rows and tombstones of the current version, named by marker files.
 
     A removal hides all rows of a key that were there; rows added later are seen. ``compact`` writes the rows that
-    are left as a new version and then names it; the old one stays until ``vacuum``.
+    are left as a new version and then names it; the old one stays until ``vacuum``. The dimension is stored, so an empty
+    store has one too. Rows and tombstones stand in a folder for each addition; one that is named replaces what a first
+    attempt under that name has left.
     """
 
     def __init__(self, spark: SparkSession, name: str, path: str, dimension: int, key: str = "bigint"):
@@ -120,13 +130,19 @@ class DiskStore:
             self._mark(0)
             found = [0]
         self.version = found[-1]
-        stored = self._read("rows")
-        held = stored.select(F.size("values").alias("n")).first()
-        if held is not None and held["n"] != dimension:
-            raise ValueError(f"the store has {held['n']} dimensions, not {dimension}")
-        if stored.schema["id"].dataType.simpleString() != key:
+        stored = self._dimension()
+        if stored != dimension:
+            raise ValueError(f"the store has {stored} dimensions, not {dimension}")
+        if self._read("rows").schema["id"].dataType.simpleString() != key:
             raise ValueError("the store's keys are of another type")
 
+    def _dimension(self) -> int:
+        """The stored dimension: the name of a marker file."""
+        at, fs = self._fs(f"{self.path}/_dimension")
+        if not fs.exists(at):
+            fs.create(self._fs(f"{self.path}/_dimension/{self.dimension}")[0], False).close()
+        return int(fs.listStatus(at)[0].getPath().getName())
+
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -144,11 +160,15 @@ class DiskStore:
         return f"{self.path}/v{self.version if version is None else version:08d}/{what}"
 
     def _write_empty(self, version: int) -> None:
-        self.spark.createDataFrame([], ROWS.format(key=self.key)).write.mode("overwrite").parquet(self._folder("rows", version))
-        self.spark.createDataFrame([], f"id {self.key}, seq bigint").write.mode("overwrite").parquet(self._folder("tombstones", version))
+        for what, schema in (("rows", ROWS.format(key=self.key)), ("tombstones", f"id {self.key}, seq bigint")):
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self._folder(what, version)}/batch=start")
 
-    def _read(self, what: str) -> DataFrame:
-        return self.spark.read.parquet(self._folder(what))
+    def _write(self, what: str, df: DataFrame, batch: str | None = None) -> None:
+        df.write.mode("overwrite").parquet(f"{self._folder(what)}/batch=b-{batch or uuid.uuid4().hex}")
+
+    def _read(self, what: str, but: str | None = None) -> DataFrame:
+        held = self.spark.read.parquet(self._folder(what))
+        return (held.where(F.col("batch") != f"b-{but}") if but else held).drop("batch")
 
     @property
     def rows(self) -> DataFrame:
@@ -160,15 +180,25 @@ class DiskStore:
         last = both.agg(F.max("seq")).first()[0]
         return 0 if last is None else last + 1
 
-    def add(self, rows: DataFrame) -> None:
-        prepared(rows, self.dimension, self._next()).write.mode("append").parquet(self._folder("rows"))
+    def add(self, rows: DataFrame, batch: str | None = None) -> None:
+        """Appends; under the name of a ``batch``, only once however often it is repeated."""
+        self._write("rows", prepared(rows, self.dimension, self._next()), batch)
 
     def remove(self, key) -> bool:
         if self.rows.where(F.col("id") == F.lit(key)).limit(1).count() == 0:
             return False
-        self.spark.createDataFrame([(key, self._next())], f"id {self.key}, seq bigint").write.mode("append").parquet(self._folder("tombstones"))
+        self._write("tombstones", self.spark.createDataFrame([(key, self._next())], f"id {self.key}, seq bigint"))
         return True
 
+    def replace(self, rows: DataFrame, old: Column, owners: DataFrame, batch: str) -> None:
+        """Adds ``rows`` and removes the live rows whose ``old`` (an expression of id) is in ``owners``. May be repeated under its name."""
+        first = self._next()
+        named = owners.select(F.col(owners.columns[0]).alias("owner")).distinct()
+        held = live(self._read("rows", batch), self._read("tombstones", batch)).select("id")
+        gone = held.withColumn("owner", old).join(named, "owner", "left_semi").select("id", F.lit(first).cast("long").alias("seq")).distinct()
+        self._write("tombstones", gone, batch)
+        self._write("rows", prepared(rows, self.dimension, first + 1), batch)
+
     def count(self) -> int:
         return self.rows.count()
 
@@ -181,7 +211,7 @@ class DiskStore:
             return False
         version = self.version + 1
         self._write_empty(version)
-        self.rows.write.mode("append").parquet(self._folder("rows", version))
+        self.rows.write.mode("overwrite").parquet(f"{self._folder('rows', version)}/batch=compacted")
         self._mark(version)
         self.version = version
         return True

@@ -89,14 +89,12 @@ def search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(topk_sql(q=1))
 def sql_search_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same in SQL text; the query's side is one row."""
+    """The same in SQL text; the query is a parameter."""
     Q.register(spark)
     statement = """
-      SELECT id, round(exact, 6) AS score FROM (
-        SELECT e.vec_id AS id, vec_cosine(e.embedding, q.embedding) AS exact
-        FROM {rows} e, (SELECT embedding FROM {rows} WHERE vec_id = 1 LIMIT 1) q)
-      ORDER BY exact DESC, id LIMIT 10"""
-    return spark.sql(statement, rows=table(spark, sf_dir, "embeddings"))
+      SELECT vec_id AS id, round(exact, 6) AS score FROM (SELECT vec_id, vec_cosine(embedding, CAST(:q AS ARRAY<FLOAT>)) AS exact FROM {rows})
+      ORDER BY exact DESC, vec_id LIMIT 10"""
+    return spark.sql(statement, args={"q": V.literal(vector_of(spark, sf_dir, 1))}, rows=table(spark, sf_dir, "embeddings"))
 
 
 @query(topk_sql("e.vec_id % 7 = 0"))
@@ -168,6 +166,24 @@ def batch_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
 
 
+@query(
+    f"""WITH e AS (SELECT 'v' || vec_id AS id, vec_id % 19 = 6 AS zero, embedding FROM embeddings WHERE vec_id % 11 <> 3 AND vec_id % 13 <> 5 AND vec_id % 17 <> 4),
+s AS (SELECT 'q' || q.vec_id AS query_id, e.id, CASE WHEN e.zero THEN 0.0 ELSE {COSINE} END AS score FROM e, embeddings q WHERE q.vec_id % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(score, 6) AS score FROM r WHERE rank <= 300"""
+)
+def batch_top300_odd_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys are strings; some rows are null, some hold NaN or infinity, some are zero."""
+    e = table(spark, sf_dir, "embeddings")
+    n = F.col("vec_id")
+    bad = F.when(n % 13 == 5, F.lit("NaN")).otherwise(F.lit("Infinity")).cast("float")
+    odd = F.when(n % 11 == 3, F.lit(None)).when((n % 13 == 5) | (n % 17 == 4), F.transform("embedding", lambda x, i: F.when(i == 7, bad).otherwise(x)))
+    values = odd.when(n % 19 == 6, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    asked = e.where(n % 10 == 0).select(F.concat(F.lit("q"), n.cast("string")).alias("query_id"), F.col("embedding").alias("values"))
+    found = S.batch_top_k(e.select(F.concat(F.lit("v"), n.cast("string")).alias("id"), values.alias("values")), asked, 300)
+    return hits(found.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score"))
+
+
 @query(f"SELECT count(*) AS hits, round(max(score), 6) AS best, round(min(score), 6) AS worst FROM ({topk_sql(k=100)})")
 def topk_heap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count and extremes of a bounded top-100."""
@@ -261,12 +277,13 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query("SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE vec_id % 2 = 1) GROUP BY 1, 2")
+@query("SELECT vec_id // 8 AS text_id, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY 1, 2")
 def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean of each label's vectors whose mask (odd ids) is 1."""
-    e = table(spark, sf_dir, "embeddings").withColumn("mask", F.col("vec_id") % 2)
-    rows = e.where("mask = 1").select("label", F.posexplode("embedding").alias("pos", "x"))
-    return rows.groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """Texts of eight token vectors each; the mean of those whose mask is 1."""
+    e = table(spark, sf_dir, "embeddings").withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    texts = e.groupBy(F.expr("vec_id div 8").alias("text_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding", "mask"))).alias("t"))
+    mean = V.masked_mean(F.transform("t", lambda t: t["embedding"].cast("array<double>")), F.transform("t", lambda t: t["mask"]))
+    return texts.select("text_id", F.posexplode(mean).alias("pos", "x")).select("text_id", "pos", F.round("x", 6).alias("mean"))
 
 
 def source_of(preset: str) -> tuple[str, str, str]:
@@ -294,15 +311,13 @@ def stop_sql(segment: str, preset: str) -> str:
     return "(" + " OR ".join(f"starts_with(regexp_replace({segment}, '^\\s+', ''), '{s}')" for s in stops) + ")" if stops else "false"
 
 
-def chunks_sql(preset: str, most: int) -> str:
-    """Rows (key, chunk_index, chunk)."""
-    def words(x: str) -> str:
-        return f"len(regexp_extract_all({x}, '\\S+'))"
-
-    total = f"acc.n + {words('x.cur')}" if preset in T.ADDITIVE else words("acc.cur || x.cur")
-    fits = f"acc.n < {most} AND NOT {stop_sql('x.cur', preset)} AND {total} <= {most}"
-    return f"""WITH s AS ({segments_sql(preset)}),
-f AS (SELECT key, list_reduce(list_transform(segs, lambda g: {{'out': []::VARCHAR[], 'cur': g, 'n': {words('g')}}}),
+def chunks_sql(preset: str, most: int, segs: str | None = None, count: str = "len(regexp_extract_all({}, '\\S+'))", stop: str | None = None, additive: bool | None = None) -> str:
+    """Rows (key, chunk_index, chunk): of a preset, or of any segments (key, segs), count and stop condition (on x.cur)."""
+    additive = preset in T.ADDITIVE if additive is None else additive
+    total = f"acc.n + {count.format('x.cur')}" if additive else count.format("acc.cur || x.cur")
+    fits = f"acc.n < {most} AND NOT {stop or stop_sql('x.cur', preset)} AND {total} <= {most}"
+    return f"""WITH s AS ({segs or segments_sql(preset)}),
+f AS (SELECT key, list_reduce(list_transform(segs, lambda g: {{'out': []::VARCHAR[], 'cur': g, 'n': {count.format('g')}}}),
   lambda acc, x: CASE WHEN {fits} THEN {{'out': acc.out, 'cur': acc.cur || x.cur, 'n': {total}}}
     ELSE {{'out': list_append(acc.out, acc.cur), 'cur': x.cur, 'n': x.n}} END) AS r FROM s),
 c AS (SELECT key, list_append(r.out, r.cur) AS chunks FROM f)
@@ -359,6 +374,17 @@ def chunk_custom_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda p: p["chunk"]), "")).alias("text_md5"))
 
 
+CUSTOM_SEGMENTS = "SELECT doc_id AS key, regexp_extract_all(text, '(?s:.*?(?:e |, |\\n)\\n*|.+$)') AS segs FROM documents WHERE text <> ''"
+CUSTOM_SQL = chunks_sql("", 120, CUSTOM_SEGMENTS, "length({})", "starts_with(regexp_replace(x.cur, '^\\s+', ''), 'The')", True)
+
+
+@query(f"SELECT key AS doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(chunk) AS chunk_md5, CAST(length(chunk) AS INTEGER) AS chars FROM ({CUSTOM_SQL})")
+def chunks_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The borders of chunks by break strings, a stop signal and a counter of one's own."""
+    rows = chunk(table(spark, sf_dir, "documents"), ChunkOptions(120, ("e ", ", ", "\n"), ("The",)), counter=len)
+    return rows.select("doc_id", "chunk_index", F.md5("chunk").alias("chunk_md5"), F.length("chunk").alias("chars"))
+
+
 @query(
     f"WITH s AS ({segments_sql('html')}), u AS (SELECT key AS page_id, unnest(segs) AS segment FROM s) "
     f"SELECT page_id, count(*) AS segments, count(*) FILTER (WHERE {stop_sql('segment', 'html')}) AS stops FROM u GROUP BY 1"

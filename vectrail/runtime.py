@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -35,12 +36,14 @@ def share_code(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         if held:
             root = held
+        elif not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="vectrail-")
             spark.sparkContext.setCheckpointDir(root)
