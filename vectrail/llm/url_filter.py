@@ -12,7 +12,8 @@ exact for every key of the universe, without a join. Level 1 has a false positiv
 listed keys per key of the universe, the others one half, so the filters grow with the list and only with
 the logarithm of the universe; their size is checked before they become constants of the plan.
 
-Results: a null url, or one without ``://``, has an empty host and path and fits no rule. Repeated rows
+Results: a null url, or one without ``://``, has an empty host and path and fits no rule. Very long urls are
+judged whole. Of rules as long, the one with the longer host decides. Repeated rows
 are judged each. An empty table gives no rows. Columns of the input other than the url and those asked for
 are not read, so their names cannot clash. Everything is DataFrame functions.
 """
@@ -41,12 +42,9 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         """Whether the filter may hold the key."""
-        held = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant
-        tests = [self._bit(held, _position(key, self.seed, i, self.bits)) for i in range(self.hashes)]
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
-        return out
+        held = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant, which stands once
+        places = F.array(*[_position(key, self.seed, i, self.bits) for i in range(self.hashes)])
+        return F.forall(places, lambda at: self._bit(held, at))
 
     @staticmethod
     def _bit(words: Column, at: Column) -> Column:
@@ -70,11 +68,11 @@ class Cascade:
         return F.coalesce(out, F.lit(False))
 
 
-def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
+def _level(keys: DataFrame, count: int, rate: float, seed: int, room: int = MOST_BITS) -> Level:
     hashes = max(1, round(-math.log2(rate)))
     bits = 64 * max(1, math.ceil(count * -math.log2(rate) / math.log(2) / 64))
-    if bits > MOST_BITS:
-        raise ValueError(f"the list needs a filter of {bits} bits; {MOST_BITS} are allowed")
+    if bits > room:
+        raise ValueError(f"the list needs filters of over {MOST_BITS} bits in all")
     at = F.explode(F.array(*[_position(F.col("key"), seed, i, bits) for i in range(hashes)])).alias("at")
     words = keys.select(at).groupBy(F.shiftright("at", 6).alias("word"))
     rows = words.agg(F.bit_or(F.call_function("shiftleft", F.expr("1L"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("set")).collect()  # bits / 64 rows at most
@@ -97,7 +95,7 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade:
     wrong = both.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key")
     encoded, other = listed, materialize(wrong, "wrong")
     while (count := other.count()) > 0:
-        levels.append(_level(other, count, 0.5, len(levels) + 1))
+        levels.append(_level(other, count, 0.5, len(levels) + 1, MOST_BITS - sum(x.bits for x in levels)))
         encoded, other = other, materialize(encoded.where(levels[-1].passes(F.col("key"))), "wrong")
     return Cascade(tuple(levels))
 
