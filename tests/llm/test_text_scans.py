@@ -110,13 +110,14 @@ def test_secret_columns(spark):
 def phrases(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
-    at = {p: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p in C.PHRASES}
+    at = {p: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()] for p in C.PASSAGES}
     base = sorted(i for p in C.BASE for i in at[p])
-    return len(words), len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted({C.BASE[p] for p in C.BASE if at[p]})), ",".join(sorted({C.PHRASES[p] for p in C.PHRASES if at[p]}))
+    return len(words), len(base), base[0] if base else None, base[-1] if base else None, ",".join(sorted({C.BASE[p] for p in C.BASE if at[p]})), ",".join(sorted({label for label, ps in C.TEMPLATES if all(at[p] for p in ps)}))
 
 
 def test_licences(spark):
     more = ["GNU General Public License, the GNU Lesser General Public License; MIT MIT License license apache  License", "mit-license Mit_License MİT license", "cc by nc", "general public", "License MIT"]
+    more += [" ".join(ps) for _, ps in C.ADDED] + [" Zebra ".join(ps).replace("license", "License", 1) for _, ps in C.ADDED] + ["; ".join(ps[:1]).replace(" of ", " of x ") for _, ps in C.ADDED]
     docs = documents(spark).select("doc_id", "text", "source").unionByName(spark.createDataFrame([(100 + i, t, None) for i, t in enumerate(more)], "doc_id bigint, text string, source string"))
     for r in C.scan(docs, ["doc_id", "text"]).collect():
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == phrases(r["text"] or "")

@@ -16,10 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rules of the contract, and names of hosts that the method lists.
+#: Rules of the contract, and names of hosts that the method lists (each with the numbers 0 to 19).
 BLOCK, ALLOW = ["net/", "example.com/de/"], ["example.net/en/", "org/fr/"]
-LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-LISTED = [f"{n}.example.{t}" for n in LISTED_NAMES for t in ("com", "net", "org")]
+LISTED_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "host", "spam-farm"]
+LISTED = [f"{n}{k}.example.{t}" for n in LISTED_NAMES for k in range(20) for t in ("com", "net", "org")]
 
 
 def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ fits AS (
     (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') AS r2,
     (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') AS r3,
     (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') AS r4,
-    nullif(regexp_extract(host, '(^|\\.)(({"|".join(LISTED_NAMES)})\\.example\\.(com|net|org))$', 2), '') AS listed
+    nullif(regexp_extract(host, '(^|\\.)(({"|".join(LISTED_NAMES)})([0-9]|1[0-9])\\.example\\.(com|net|org))$', 2), '') AS listed
   FROM parts)
 SELECT page_id, host, path,
   CASE WHEN r2 THEN 'example.net/en/' WHEN r3 THEN 'example.com/de/' WHEN r4 THEN 'org/fr/' WHEN r1 THEN 'net/' END AS rule,
@@ -61,22 +61,26 @@ def op3_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    names = {p: f"at{k}" for k, p in enumerate(license_scan.PHRASES)}
+    names = {p: f"at{k}" for k, p in enumerate(license_scan.PASSAGES)}
 
     def listed(values: list[str]) -> str:
         return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
-    def labels(phrases: list[str]) -> str:
-        each = ", ".join(f"CASE WHEN len({names[p]}) > 0 THEN '{license_scan.PHRASES[p]}' END" for p in phrases)
+    def stands(passages: list[str]) -> str:
+        return " AND ".join(f"len({names[p]}) > 0" for p in passages)
+
+    def labels(of: list[tuple[str, list[str]]]) -> str:
+        each = ", ".join(f"CASE WHEN {stands(passages)} THEN '{label}' END" for label, passages in of)
         return f"array_to_string(list_sort(list_distinct([{each}])), ',')"
 
     starts = ",\n  ".join(
-        f"list_filter(range(0, greatest(len(words) - {len(ws) - 1}, 0)), lambda i: words[i + 1 : i + {len(ws)}] = {listed(ws)}) AS {names[p]}"
-        for p in license_scan.PHRASES for ws in [p.split()]
+        f"list_filter(range(0, greatest(len(words) - {len(ws) - 1}, 0)), lambda i: words[i + 1] = '{ws[0]}' AND words[i + 1 : i + {len(ws)}] = {listed(ws)}) AS {names[p]}"
+        for p in license_scan.PASSAGES for ws in [p.split()]
     )
-    shares = ", ".join(f"0.5 * len(list_intersect({listed(ws)}, words)) / {len(ws)}.0" for p in license_scan.PHRASES for ws in [sorted(set(p.split()))])
+    of = [sorted({w for p in passages for w in p.split()}) for _, passages in license_scan.TEMPLATES]
+    shares = ", ".join(f"0.5 * len(list_intersect({listed(ws)}, words)) / {len(ws)}.0" for ws in of)
     base = " || ".join(names[p] for p in license_scan.BASE)
-    some = " + ".join(f"len({n})" for n in names.values())
+    some = " OR ".join(f"({stands(passages)})" for _, passages in license_scan.TEMPLATES)
     return f"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '{license_scan.WORD}') AS words FROM documents),
@@ -84,8 +88,8 @@ found AS (
   SELECT doc_id, words, {starts} FROM split)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len({base}) AS BIGINT) AS n_base,
   list_min({base}) AS first_word, list_max({base}) AS last_word,
-  {labels(list(license_scan.BASE))} AS base_labels, {labels(list(license_scan.PHRASES))} AS labels,
-  CAST(CASE WHEN {some} > 0 THEN 1.0 ELSE greatest({shares}) END AS DOUBLE) AS score
+  {labels(license_scan.TEMPLATES[: len(license_scan.BASE)])} AS base_labels, {labels(license_scan.TEMPLATES)} AS labels,
+  CAST(CASE WHEN {some} THEN 1.0 ELSE greatest({shares}) END AS DOUBLE) AS score
 FROM found
 """
 
