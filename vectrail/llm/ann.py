@@ -1,22 +1,27 @@
 """Approximate nearest neighbours by an adaptive scan of dimensions within probed lists.
 
-Vectors are dealt into lists by spherical k-means, fitted on a bounded sample; every vector is in one list. A
-query probes the lists whose centres are nearest, the nearest one first: its k-th best there is what candidates
-of the other lists are tested against. All vectors are rotated at random, so that a part of the
-dimensions tells about the rest, and a list's blocks keep them by columns. A block is scanned a few
-columns at a time: from the partial inner products, a hypothesis test abandons the candidates that are
-unlikely to reach the query's k-th best so far, and only the others are carried on. What is found is scored
-anew on the vectors as given.
-
-Results: vectors that are null, empty or zero or hold null or non-finite components, and those with a null
-vec_id, take no part; a query meets vectors of its own length. A query is not its own candidate, but rows that
-repeat it are. All candidates are returned if there are fewer than k. An empty table gives no rows. Extra
-columns are not read.
+Vectors are dealt into lists by spherical k-means, fitted on a bounded sample; every vector is in one list. From
+the sample also come the mean and the spread of each list: the expected number of its vectors whose product with
+a query passes a threshold follows, and with it the threshold that k vectors should pass. A query probes the
+lists with the most expected hits until they have ``COVER`` of them all, so how many it probes depends on the data.
+
+All vectors are rotated at random, so that a part of the dimensions tells about the rest, and blocks of a list are
+scanned a few columns at a time: from the partial inner products, a hypothesis test abandons the candidates that
+are unlikely to reach the query's k-th best so far. What is left is scored anew on the vectors as given.
+
+Queries are in blocks, each once, beside queries of the same nearest list; only (block, list) numbers are paired. A
+task takes a block of queries and a share of the candidates, best lists first, and keeps k rows of each query.
+
+Results: vectors that are null, empty or zero or hold null or non-finite components take no part; a query meets
+vectors of its own length. A query is not its own candidate, but rows that repeat it are. Ties go to the smaller
+vec_id, null ones last. All candidates are returned if there are fewer than k. Rows with a null vec_id are candidates.
+An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +32,49 @@ from vectrail.llm import intervals
 from vectrail.llm.embed_join import sample, unit, usable
 from vectrail.runtime import materialize, share_code
 
-#: Vectors that centres are fitted on, about; rounds; lists, at least and at most; vectors of a list; share of the lists probed.
-SAMPLE, ROUNDS, LEAST_LISTS, LISTS, PER_LIST, PROBED = 16384, 8, 24, 1024, 1000, 0.75
-#: Vectors of a block of candidates and of queries; columns of a step; standard deviations of the test.
-BLOCK, QUERIES, COLUMNS, SIGMAS = 4096, 512, 16, 3.0
+#: Vectors that centres are fitted on, about; rounds; lists, at least and at most; vectors of a list.
+SAMPLE, ROUNDS, LEAST_LISTS, LISTS, PER_LIST = 16384, 8, 24, 1024, 1000
+#: Share of the expected hits that probed lists have; candidates that they hold at least, in k.
+COVER, LEAST_K = 0.95, 8
+#: Vectors of a block of candidates and of queries, and of a share; columns of a step; standard deviations of the test.
+BLOCK, QUERIES, SHARE, COLUMNS, SIGMAS = 4096, 1024, 32768, 16, 2.0
 SEED = 11
+#: Share of a normal distribution above -8 to 8 standard deviations.
+_AT = np.linspace(-8, 8, 1601)
+_ABOVE = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in _AT])
+
+
+@dataclass(frozen=True)
+class Model:
+    """Lists of the vectors of one length."""
+
+    centres: np.ndarray
+    turn: np.ndarray
+    share: np.ndarray  # of the vectors, by list
+    mean: np.ndarray
+    spread: np.ndarray  # standard deviation along a direction
+
+    def expected(self, queries: np.ndarray, total: int, k: int) -> np.ndarray:
+        """Hits that each list (column) should have for each query: vectors above the threshold that k of all pass."""
+        q = queries.astype(np.float64)
+        mean, sd = q @ self.mean.T, np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * self.spread
+        sd = np.maximum(sd, 1e-12 * (1e-300 + np.abs(mean)))
+        size = self.share * total
+        low, high = (mean - 8 * sd).min(axis=1), (mean + 8 * sd).max(axis=1)
+        for _ in range(30):
+            mid = (low + high) / 2
+            many = (np.interp((mid[:, None] - mean) / sd, _AT, _ABOVE) * size).sum(axis=1) >= k
+            low, high = np.where(many, mid, low), np.where(many, high, mid)
+        return np.interp((low[:, None] - mean) / sd, _AT, _ABOVE) * size
 
 
-def fit(rows: DataFrame, lists: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """(centres, rotation) for each length of vectors in a bounded sample."""
+def fit(rows: DataFrame, lists: int) -> dict[int, Model]:
+    """The lists of each length of vectors in a bounded sample."""
     out = {}
     for n, vectors in sorted(sample(rows, SAMPLE, "embedding", "uid").items()):
-        u = np.unique(unit(np.array(vectors, np.float64)), axis=0)
+        x = np.array(vectors, np.float64)
+        every = unit(x)
+        u = np.unique(every, axis=0)
         random = np.random.default_rng(SEED)
         centres = u[random.permutation(len(u))[:lists]]
         for _ in range(ROUNDS):
@@ -47,140 +83,194 @@ def fit(rows: DataFrame, lists: int) -> dict[int, tuple[np.ndarray, np.ndarray]]
             np.add.at(sums, own, u)
             length = np.sqrt((sums * sums).sum(axis=1))
             centres = np.where(length[:, None] > 0, sums / np.maximum(length, 1e-300)[:, None], centres)
-        out[n] = centres, np.linalg.qr(random.standard_normal((n, n)))[0]
+        own = np.argmax(every @ centres.T, axis=1)
+        size = np.bincount(own, minlength=len(centres)).astype(np.float64)
+        mean = np.zeros_like(centres)
+        np.add.at(mean, own, x)
+        mean /= np.maximum(size, 1)[:, None]
+        apart = np.bincount(own, weights=((x - mean[own]) ** 2).sum(axis=1), minlength=len(centres))
+        # A list of few sampled vectors leans on the spread of all.
+        spread = np.sqrt((apart + apart.sum() / size.sum()) / (np.maximum(size, 1) * n))
+        turn = np.linalg.qr(random.standard_normal((n, n)))[0]
+        out[n] = Model(centres, turn, np.maximum(size, 0.5) / size.sum(), mean, spread)
     return out
 
 
-def _centres(models: dict, n: int) -> np.ndarray:
-    """A length that the sample lacks has one list."""
-    return models[n][0] if n in models else np.zeros((1, n))
-
-
-def best(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties by id."""
-    return np.lexsort((uids, ids, -scores))[:k]
-
-
-def scan(queries: np.ndarray, candidates: np.ndarray, turn: np.ndarray | None, own: np.ndarray, k: int, kth: np.ndarray) -> list[np.ndarray]:
-    """For each query, the places of candidates that may be among its k best of this block.
-
-    ``own[i, j]`` marks a query's own row; ``kth`` is what a candidate must reach at first. Partial products over the first columns decide who is carried on.
-    """
-    q = queries.astype(np.float64)
-    x = candidates.astype(np.float64)
-    if turn is not None:
-        q, x = q @ turn, x @ turn
-    n = q.shape[1]
-    blocks = [np.ascontiguousarray(x[:, at : at + COLUMNS].T) for at in range(0, n, COLUMNS)]  # by columns
-    rest_q = np.sqrt(np.cumsum((q * q)[:, ::-1], axis=1)[:, ::-1])
-    rest_x = np.sqrt(np.cumsum((x * x)[:, ::-1], axis=1)[:, ::-1])
-    found = [np.zeros(0, np.int64)] * len(q)
-    kth = kth - 1e-9 * (1 + np.abs(kth))  # rounding must not part equal scores
-    scored: list[list] = [[] for _ in q]
-    chunk = max(4 * k, 256)
-    for low in range(0, len(x), chunk):
-        high = min(low + chunk, len(x))
-        partial = q[:, :COLUMNS] @ blocks[0][:, low:high]
-        partial[own[:, low:high]] = -np.inf
-        done = COLUMNS
-        alive = np.nonzero(np.isfinite(partial))
-        sums = partial[alive]
-        for step in blocks[1:]:
-            reach = rest_q[alive[0], done] * rest_x[low + alive[1], done]
-            likely = sums + reach * np.minimum(1.0, SIGMAS / math.sqrt(n - done)) >= kth[alive[0]]
-            alive, sums = (alive[0][likely], alive[1][likely]), sums[likely]
-            width = len(step)
-            if len(sums) > 0.2 * partial.size:  # most are left: as one product
-                sums = sums + (q[:, done : done + width] @ step[:, low:high])[alive]
-            else:
-                sums = sums + np.einsum("ij,ij->i", q[alive[0], done : done + width], step[:, low + alive[1]].T)
-            done += width
-        bounds = np.searchsorted(alive[0], np.arange(len(q) + 1))
-        for i in np.flatnonzero(np.diff(bounds)):
-            mine = slice(bounds[i], bounds[i + 1])
-            scored[i].append((low + alive[1][mine], sums[mine]))
-            places = np.concatenate([p for p, _ in scored[i]])
-            values = np.concatenate([v for _, v in scored[i]])
-            if len(values) > k:
-                kth[i] = max(kth[i], np.partition(values, len(values) - k)[len(values) - k] - 1e-9 * (1 + abs(values).max()))
-                keep = values >= kth[i]
-                places, values = places[keep], values[keep]
-            scored[i] = [(places, values)]
-            found[i] = places
-    return found
+def nearest(models: dict[int, Model], vectors: np.ndarray) -> np.ndarray:
+    """The list of each vector; a length that the sample lacks has one list."""
+    n = vectors.shape[1]
+    return np.argmax(unit(vectors) @ models[n].centres.T, axis=1) if n in models else np.zeros(len(vectors), np.int64)
+
+
+def probes(models: dict[int, Model], vectors: np.ndarray, totals: dict[int, int], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lists (column) each query probes, and the lists that any does, those with the most expected hits first."""
+    n = vectors.shape[1]
+    if n not in models:
+        return np.ones((len(vectors), 1), bool), np.zeros(1, np.int64)
+    total = totals[n]
+    hits = models[n].expected(vectors, total, k)
+    order = np.argsort(-hits, axis=1, kind="stable")
+    before = np.cumsum(np.take_along_axis(hits, order, axis=1), axis=1)
+    held = np.cumsum((models[n].share * total)[order], axis=1)
+    need = (before < COVER * before[:, -1:]) | (held < min(LEAST_K * k, total))
+    need = np.concatenate([np.ones((len(need), 1), bool), need[:, :-1]], axis=1)
+    if total <= LEAST_K * k:
+        need[:] = True
+    chosen = np.zeros_like(need)
+    np.put_along_axis(chosen, order, need, axis=1)
+    some = np.flatnonzero(chosen.any(axis=0))
+    return chosen, some[np.argsort(-hits[:, some].sum(axis=0), kind="stable")]
+
+
+def _cosine(kth: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The cosine that vectors of these products of lengths need for a score of ``kth``."""
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        return np.nan_to_num(np.clip(kth / lengths, 0.0, 1.0))
+
+
+def _reach(cosine: np.ndarray, left: int) -> np.ndarray:
+    """The cosine over the ``left`` dimensions that a vector with ``cosine`` over all, rotated at random, stays below but for chance."""
+    return np.minimum(1.0, cosine + SIGMAS / math.sqrt(left) * (1 - cosine * cosine))
+
+
+class Best:
+    """The k best candidates so far of each query of a block, sorted by query, falling score, vec_id and uid."""
+
+    def __init__(self, queries: np.ndarray, uids: np.ndarray, turn: np.ndarray | None, k: int):
+        self.queries, self.uids, self.turn, self.k = queries.astype(np.float64), uids, turn, k
+        self.turned = self.queries if turn is None else self.queries @ turn
+        self.rest = np.sqrt(np.cumsum((self.turned**2)[:, ::-1], axis=1)[:, ::-1])
+        self.kth = np.full(len(queries), -np.inf)
+        self.held = [np.zeros(0, t) for t in (np.int64, np.float64, bool, np.int64, np.int64)]
+
+    def scan(self, asking: np.ndarray, uids: np.ndarray, ids: np.ndarray, null: np.ndarray, vectors: np.ndarray) -> None:
+        """Meets the queries at the places ``asking`` with a block of candidates. Partial products decide who is carried on."""
+        x = vectors.astype(np.float64)
+        turned = x if self.turn is None else x @ self.turn
+        rest = np.sqrt(np.cumsum((turned**2)[:, ::-1], axis=1)[:, ::-1])
+        columns = np.ascontiguousarray(turned.T)
+        q, rest_q, n = self.turned[asking], self.rest[asking], x.shape[1]
+        _, own_q, own_x = np.intersect1d(self.uids[asking], uids, assume_unique=True, return_indices=True)
+        low, chunk = 0, max(2 * self.k, 64)
+        while low < len(x):
+            high = min(low + chunk, len(x))
+            kth = self.kth[asking] - 1e-9 * (1 + np.abs(self.kth[asking]))  # rounding must not part equal scores
+            kth[np.isnan(kth)] = -np.inf
+            done = min(COLUMNS, n)
+            partial = q[:, :done] @ columns[:done, low:high]
+            likely = partial >= kth[:, None]
+            if done < n:
+                cosine = _cosine(kth[:, None], rest_q[:, 0, None] * rest[low:high, 0])
+                likely = partial + rest_q[:, done, None] * rest[low:high, done] * _reach(cosine, n - done) >= kth[:, None]
+            here = (own_x >= low) & (own_x < high)
+            likely[own_q[here], own_x[here] - low] = False
+            i, j = np.nonzero(likely)
+            sums = partial[i, j]
+            j += low
+            while done < n and len(i):
+                upto = min(done + COLUMNS, n)
+                if len(i) > 0.2 * partial.size:  # most are left: as one product
+                    sums = sums + (q[:, done:upto] @ columns[done:upto, low:high])[i, j - low]
+                else:
+                    sums = sums + np.einsum("ij,ij->i", q[i, done:upto], turned[j, done:upto])
+                done = upto
+                left = 0.0 if done == n else rest_q[i, done] * rest[j, done] * _reach(_cosine(kth[i], rest_q[i, 0] * rest[j, 0]), n - done)
+                keep = sums + left >= kth[i]
+                i, j, sums = i[keep], j[keep], sums[keep]
+            if len(i):
+                scores = (self.queries[asking[i]] * x[j]).sum(axis=1)
+                self._merge(asking[i], scores, null[j], ids[j], uids[j])
+            low, chunk = high, min(2 * chunk, 1024)
+
+    def _merge(self, *more: np.ndarray) -> None:
+        query, score, null, ids, uids = (np.concatenate([a, b]) for a, b in zip(self.held, more, strict=True))
+        order = np.lexsort((uids, ids, null, -score, query))
+        starts = np.searchsorted(query[order], np.arange(len(self.kth)))
+        rank = np.arange(len(order)) - starts[query[order]]
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        self.held = [a[order] for a in (query, score, null, ids, uids)]
+        last = rank == self.k - 1
+        self.kth[self.held[0][last]] = self.held[1][last]
 
 
 def search(vectors: DataFrame, k: int, is_query: Column) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``vectors`` (vec_id, embedding) that is a query, the k largest inner products found."""
     spark = vectors.sparkSession
     share_code(spark)
-    valid = vectors.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
+    valid = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable(F.col("embedding")))
     rows = materialize(valid.withColumn("uid", F.monotonically_increasing_id()), "vectors")
-    total = rows.count()
-    lists = max(1, min(LISTS, max(LEAST_LISTS, total // PER_LIST)))
-    models = fit(rows, lists)
-    probed = max(1, math.ceil(PROBED * lists))
+    totals = {r["n"]: r["count"] for r in rows.groupBy(F.size("embedding").alias("n")).count().collect()}
+    total = sum(totals.values())
+    models = fit(rows, max(1, min(LISTS, max(LEAST_LISTS, total // PER_LIST))))
 
-    def assign(batches, most: int):
-        """Rows with the lists of the ``most`` nearest centres."""
+    def assign(batches):
         for batch in batches:
             values = batch.column("embedding").to_pylist()
-            take, groups, probes = [], [], []
-            for at in range(0, len(values), 1024):
-                part = values[at : at + 1024]
-                by_size: dict[int, list[int]] = {}
-                for i, v in enumerate(part):
-                    by_size.setdefault(len(v), []).append(i)
-                for n, places in by_size.items():
-                    products = unit(np.array([part[i] for i in places], np.float64)) @ _centres(models, n).T
-                    order = np.argsort(-products, axis=1, kind="stable")[:, :most]
-                    take += np.repeat(np.array(places) + at, order.shape[1]).tolist()
-                    groups += ((n << 24) + order).ravel().tolist()
-                    probes += np.tile(np.arange(order.shape[1]), len(places)).tolist()
-            for low in range(0, len(take), 4096):
-                part = batch.take(pa.array(take[low : low + 4096], pa.int64()))
-                more = pa.array(groups[low : low + 4096], pa.int64()), pa.array(probes[low : low + 4096], pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "grp", "probe"])
+            groups, by_size = np.zeros(len(values), np.int64), {}
+            for i, v in enumerate(values):
+                by_size.setdefault(len(v), []).append(i)
+            for n, places in by_size.items():
+                groups[places] = (n << 24) + nearest(models, np.array([values[i] for i in places], np.float64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(groups)], [*batch.schema.names, "grp"])
 
     def pack(table: pa.Table) -> dict:
-        a = np.array(table.column("embedding").to_pylist(), np.float32)
-        return {"size": a.shape[1], "uids": table.column("uid").to_numpy().tobytes(), "ids": table.column("vec_id").to_numpy().tobytes(), "vectors": a.tobytes()}
+        a, ids = np.array(table.column("embedding").to_pylist(), np.float32), table.column("vec_id").combine_chunks()
+        null = ids.is_null().to_numpy(zero_copy_only=False)
+        held = {"uids": table.column("uid").to_numpy(), "ids": ids.fill_null(0).to_numpy(), "nulls": null, "vectors": a}
+        return {"n": len(a), "size": a.shape[1]} | {c: v.tobytes() for c, v in held.items()}
+
+    def pack_queries(table: pa.Table) -> dict:
+        held = pack(table)
+        n = held["size"]
+        chosen, lists = probes(models, np.frombuffer(held["vectors"], np.float32).reshape(-1, n), totals, k)
+        return held | {"chosen": np.packbits(chosen, axis=1).tobytes(), "lists": ((n << 24) + lists).tolist()}
 
-    schema = "vec_id bigint, embedding array<float>, uid bigint, grp bigint, probe int"
-    made = "size int, uids binary, ids binary, vectors binary"
-    listed = materialize(rows.mapInArrow(lambda b: assign(b, 1), schema), "listed")
-    asked = materialize(rows.where(is_query).mapInArrow(lambda b: assign(b, probed), schema), "asked")
+    schema = "vec_id bigint, embedding array<float>, asks boolean, uid bigint, grp bigint"
+    made = "n int, size int, uids binary, ids binary, nulls binary, vectors binary"
+    listed = materialize(rows.mapInArrow(assign, schema), "listed")
     candidates = intervals.cut(intervals.dealt(listed, "uid", BLOCK // 2), ["uid"], BLOCK, made, pack, "part")
+    # Queries of a length, those of the same list side by side.
+    asked = listed.where("asks").withColumn("near", F.col("grp")).withColumn("grp", F.size("embedding").cast("long"))
+    blocks = intervals.cut(asked, ["near", "uid"], QUERIES, f"{made}, chosen binary, lists array<bigint>", pack_queries)
 
-    def pack_queries(table: pa.Table) -> dict:
-        return pack(table) | {"kths": table.column("kth").to_numpy().tobytes()}
-
-    def probe(queries: DataFrame, label: str) -> DataFrame:
-        blocks = intervals.cut(intervals.dealt(queries, "uid", QUERIES // 2), ["uid"], QUERIES, f"{made}, kths binary", pack_queries, "part")
-        schema = "q_uid bigint, query_id bigint, uid bigint, vec_id bigint, score double"
-        return materialize(intervals.across(blocks, candidates, ([*payload, "kths"], payload), kernel, schema), label)
-
-    def kernel(left: dict, right: dict) -> pa.Table:
-        def part(side: dict) -> tuple:
-            return np.frombuffer(side["uids"], np.int64), np.frombuffer(side["ids"], np.int64), np.frombuffer(side["vectors"], np.float32).reshape(-1, side["size"])
-
-        (q_uids, q_ids, q), (uids, ids, x) = part(left), part(right)
-        turn = models[q.shape[1]][1] if q.shape[1] in models else None
-        out: list[list] = [[], [], [], [], []]
-        for i, places in enumerate(scan(q, x, turn, q_uids[:, None] == uids[None], k, np.frombuffer(left["kths"], np.float64))):
-            scores = (q[i].astype(np.float64) * x[places].astype(np.float64)).sum(axis=1)
-            places, scores = (a[best(scores, ids[places], uids[places], k)] for a in (places, scores))
-            for column, values in zip(out, (np.full(len(places), q_uids[i]), np.full(len(places), q_ids[i]), uids[places], ids[places], scores), strict=True):
-                column.append(values)
-        names = ("q_uid", "query_id", "uid", "vec_id", "score")
-        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
-        return pa.table({n: np.concatenate([np.zeros(0, t), *c]).astype(t) for n, c, t in zip(names, out, kinds, strict=True)})
-
-    payload = ["size", "uids", "ids", "vectors"]
-    first = probe(asked.where("probe = 0").withColumn("kth", F.lit(float("-inf"))), "nearest")
-    place = F.row_number().over(Window.partitionBy("q_uid").orderBy(F.desc("score"), "vec_id", "uid"))
-    reached = first.withColumn("rank", place).where(F.col("rank") == k).select(F.col("q_uid").alias("uid"), F.col("score").alias("kth"))
-    later = asked.where("probe > 0").join(reached, "uid", "left")
-    rest = probe(later.withColumn("kth", F.coalesce(F.col("kth"), F.lit(float("-inf")))), "others")
-    found = first.unionByName(rest).withColumn("rank", place).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Which share of the candidates' blocks a pair is in; only numbers are joined, and each share is some tasks' work.
+    shares = max(1, -(-total // SHARE))
+    wanted = blocks.select(F.col("block").alias("asking"), F.posexplode("lists").alias("rank", "grp"))
+    numbers = candidates.select("grp", F.col("block").alias("met"), F.pmod(F.xxhash64("block"), F.lit(shares)).alias("share"))
+    pairs = materialize(wanted.join(numbers, "grp"), "pairs")
+    tasks = pairs.select("asking", "share").distinct()
+    payload = ["grp", "size", "uids", "ids", "nulls", "vectors"]
+    left = tasks.join(blocks.withColumnRenamed("block", "asking"), "asking").select("asking", "share", F.lit(-1).alias("rank"), F.lit(-1).cast("long").alias("met"), *payload, "chosen")
+    right = pairs.drop("grp").join(candidates.withColumnRenamed("block", "met"), "met").select("asking", "share", "rank", "met", *payload, F.lit(None).cast("binary").alias("chosen"))
+    width = max(1, min(tasks.count(), 1 << 16))
+    work = left.unionByName(right).repartition(width, "asking", "share").sortWithinPartitions("asking", "share", "rank", "met")
+
+    def scan(batches):
+        best, q_ids, chosen = None, None, None
+
+        def close():
+            query, score, null, ids, uids = best.held
+            names = ("q_uid", "query_id", "uid", "vec_id", "score")
+            columns = pa.array(best.uids[query]), q_ids.take(pa.array(query)), pa.array(uids), pa.array(ids, mask=null), pa.array(score)
+            return pa.RecordBatch.from_arrays(list(columns), list(names))
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                uids, ids = (np.frombuffer(row[c], np.int64) for c in ("uids", "ids"))
+                null, x = np.frombuffer(row["nulls"], bool), np.frombuffer(row["vectors"], np.float32).reshape(-1, row["size"])
+                if row["rank"] < 0:
+                    if best:
+                        yield close()
+                    model = models.get(row["size"])
+                    best, q_ids = Best(x, uids, model.turn if model else None, k), pa.array(ids, mask=null)
+                    chosen = np.unpackbits(np.frombuffer(row["chosen"], np.uint8).reshape(len(x), -1), axis=1)
+                elif len(asking := np.flatnonzero(chosen[:, row["grp"] & 0xFFFFFF])):
+                    best.scan(asking, uids, ids, null, x)
+        if best:
+            yield close()
+
+    found = work.mapInArrow(scan, "q_uid bigint, query_id bigint, uid bigint, vec_id bigint, score double")
+    place = F.row_number().over(Window.partitionBy("q_uid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "uid"))
+    ranked = found.withColumn("rank", place).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
