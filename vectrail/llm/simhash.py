@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -177,16 +178,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("v_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _addressed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns that name each row alike at every read, and the names of these.
+
+    They are two 64-bit hashes of a Parquet file's path and the row's number in it. What is no plain scan is written first.
+    """
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+    try:
+        held = docs if plain else materialize(docs, "documents")
+        row = held.metadataColumn("_metadata")["row_index"]
+        held.select(row)
+    except AnalysisException:  # a scan of files of another kind
+        held = materialize(docs, "documents")
+        row = held.metadataColumn("_metadata")["row_index"]
+    path = held.metadataColumn("_metadata")["file_path"]
+    names = [unused(n, docs.columns) for n in ("v_path", "v_again", "v_row")]
+    address = (F.xxhash64(path), F.xxhash64(F.lit(1), path), row)
+    return held.select("*", *[a.alias(n) for a, n in zip(address, names, strict=True)]), names
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id (of equal ones, any one)."""
-    uid = unused("v_uid", docs.columns)
-    held = materialize(docs.withColumn(uid, F.monotonically_increasing_id()), "documents")
-    ids = held.select(F.col("doc_id").alias("v_doc"), F.col(uid).alias("v_row"), "text")
-    rows = materialize(fingerprints(ids, ["v_doc", "v_row"]), "prints")
-    place = F.struct(F.col("v_doc").isNull().alias("n"), F.col("v_doc").alias("d"), F.col("v_row").alias("u"))
+    held, names = _addressed(docs)
+    address = ["v_path", "v_again", "v_row"]
+    ids = held.select(F.col("doc_id").alias("v_doc"), *[F.col(n).alias(a) for n, a in zip(names, address, strict=True)], "text")
+    rows = materialize(fingerprints(ids, ["v_doc", *address]), "prints")
+    place = F.struct(F.col("v_doc").isNull().alias("n"), F.col("v_doc").alias("d"), *address)
     own = materialize(rows.groupBy("v_print").agg(F.min(place).alias("v_first"), F.count("*").alias("n")), "distinct")
     root = clusters(own.select("v_print")).withColumnRenamed("v_print", "v_key")
     kept = own.join(root, F.col("v_print") == F.col("v_key")).groupBy("v_root").agg(F.min("v_first").alias("v_first"))
-    kept = materialize(kept.select(F.col("v_first.u").alias(uid)), "kept")
+    kept = materialize(kept.select(*[F.col(f"v_first.{a}").alias(n) for n, a in zip(names, address, strict=True)]), "kept")
     # Merged at every size: what moves then grows as the documents do.
-    return held.join(kept.hint("merge"), uid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return held.join(kept.hint("merge"), names, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
