@@ -99,29 +99,6 @@ def test_fingerprints_over_documents(spark):
     assert H.near_duplicates(docs.limit(0)).count() == 0 and H.deduplicate(docs.limit(0)).count() == 0
 
 
-def test_deduplicate_reads_files_in_place(spark, tmp_path, monkeypatch):
-    """Parquet files are not written again; other sources, and names that clash with an address, give the same rows."""
-    docs = documents(spark).withColumn("_metadata", F.lit("own")).withColumn("v_path", F.lit(1)).withColumn("v_row", F.lit("x"))
-    want = sorted(map(str, H.deduplicate(docs).collect()))
-    docs.repartition(5).write.parquet(f"{tmp_path}/p")
-    docs.repartition(3).write.json(f"{tmp_path}/j", ignoreNullFields=False)
-    files, lines = spark.read.parquet(f"{tmp_path}/p"), spark.read.schema(docs.schema).json(f"{tmp_path}/j")
-    written = []
-    materialize = H.materialize
-    monkeypatch.setattr(H, "materialize", lambda df, label: written.append(label) or materialize(df, label))
-
-    def kept(df):
-        written.clear()
-        rows = H.deduplicate(df).collect()
-        return sorted(map(str, rows)), "documents" in written
-
-    assert kept(files) == (want, False)
-    assert kept(files.where("true or doc_id > 0").withColumn("v_again", F.lit(0)).drop("v_again")) == (want, True)
-    assert kept(lines) == (want, True)
-    twice = files.unionByName(files)
-    assert kept(twice) == (want, True)
-
-
 def vectors_of(made, n):
     """Clusters, chains, copies, and rows that take no part."""
     v = made.standard_normal((n, 16))
